@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -35,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, total: int, *keys) -> DataFrame:
+    """About n of total rows by a hash of keys, all if there are no more. It is a filter: no task gathers the sample, as limit() would."""
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(1 << 30)) < F.lit(int((1 << 30) * n / total)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small enough for the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,7 +5,7 @@ before it gave. For training those log-odds are out-of-fold: a model fitted on t
 predicts each fold, so later models learn from what earlier ones say about unseen texts.
 
 Features: lower-cased words and their prefixes of 4 to 6 letters, those TERMS that separate a category best, present or not, and
-six measures of form. Vocabulary and weights are fitted on at most SAMPLE labelled documents (by hash of doc_id).
+six measures of form. Vocabulary and weights are fitted on about SAMPLE labelled documents at most (by hash of doc_id).
 
 Defined results: a null text is empty; unlabelled, contradictory (several labels for one doc_id: the largest counts) and
 missing labels do not stop a fit; with no positive or no negative example of a category its probability is the share of positives
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import hash_sample, materialize, small_batches
 
 SAMPLE, TERMS, FOLDS, STEPS, DECAY, LEAST, PREFIXES, MEMORY = 10000, 1500, 5, 150, 1e-4, 3, (4, 5, 6), 1 << 18
 _words = re.compile(r"[^\W\d_]+").findall
@@ -103,8 +103,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories: list[str], sample:
     """doc_id, text, y (array of 0/1 by category) of at most about `sample` labelled documents."""
     one = labels.select(F.col("doc_id").cast("long").alias("label_id"), *(F.col(c).cast("int").alias(c) for c in categories)).dropna()
     one = one.groupBy("label_id").agg(*(F.max(c).alias(c) for c in categories))
-    one = one.orderBy(F.xxhash64("label_id"), "label_id").limit(sample).select("label_id", F.array(*categories).alias("y"))
-    one = materialize(one, "toxic-labels")
+    one = materialize(one.select("label_id", F.array(*categories).alias("y")), "toxic-labels")
+    one = hash_sample(one, sample, one.count(), "label_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return materialize(rows.join(one, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y"), "toxic-sample")
 
