@@ -4,7 +4,7 @@ Categories are predicted one after the other; each logistic model sees the text'
 before it gave. For training those log-odds are out-of-fold: a model fitted on the other FOLDS - 1 folds (by crc32 of the text)
 predicts each fold, so later models learn from what earlier ones say about unseen texts.
 
-Features: lower-cased words and their prefixes of 4 to 6 letters, those TERMS that separate a category best, present or not, and
+Features: lower-cased words and their prefixes of 4 to 6 letters, those TERMS whose shares differ most by category (by at least SURE standard errors), present or not, and
 six measures of form. Vocabulary and weights are fitted on about SAMPLE labelled documents at most (by hash of doc_id).
 
 Defined results: a null text is empty; unlabelled, contradictory (several labels for one doc_id: the largest counts) and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, materialize, small_batches
 
-SAMPLE, TERMS, FOLDS, STEPS, DECAY, LEAST, PREFIXES, MEMORY = 10000, 1500, 5, 150, 1e-4, 3, (4, 5, 6), 1 << 18
+SAMPLE, TERMS, FOLDS, STEPS, DECAY, LEAST, SURE, PREFIXES, MEMORY = 10000, 1500, 5, 300, 1e-4, 4, 6.0, (4, 5, 6), 1 << 18
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -51,7 +51,7 @@ class Linear:
         return np.clip(np.bincount(owner, self.w[term], len(dense)) + dense @ self.d + self.b, -30, 30)
 
     def fit(self, owner: np.ndarray, term: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Linear:
-        """Adam on the full batch; classes are weighed alike, then the bias is set back to their shares."""
+        """Adam on the full batch; classes are weighed alike, then the bias goes halfway back to their shares."""
         n, p = len(y), y.mean() if len(y) else 0.0
         if p in (0.0, 1.0):
             self.b = float(np.clip(np.log(max(p, 1e-12) / max(1 - p, 1e-12)), -30, 30))
@@ -65,6 +65,7 @@ class Linear:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             self.w, self.d, self.b = x[: len(self.w)], x[len(self.w) : -1], float(x[-1])
+        self.b += 0.5 * float(np.log(p / (1 - p)))
         return self
 
 
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
                         found[t] += one
                     else:
                         found[t] = one.copy()
-        kept = [(t, n) for t, n in found.items() if n[0] >= LEAST]
+        kept = list(found.items())
         n = np.array([n for _, n in kept] + [total]).reshape(-1, c + 1)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept] + [""]), *(pa.array(n[:, k]) for k in range(c + 1))], names=["term", *(f"n{k}" for k in range(c + 1))])
 
@@ -138,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
     for k in range(1, c + 1):
         yes, no = max(1, total[columns[k]] if total else 1), max(1, total["n0"] - total[columns[k]] if total else 1)
         share, other = F.col(columns[k]) / yes, (F.col("n0") - F.col(columns[k])) / no
-        z = F.abs(share - other) / F.sqrt(share / yes + other / no + 1 / (yes * no))
-        best = counts.where("term <> ''").select("term", z.alias("z")).orderBy(F.desc("z"), "term").limit(TERMS)
+        pooled = F.col("n0") / (yes + no)
+        z = F.abs(share - other) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / yes + 1 / no))
+        best = counts.where((F.col("term") != "") & (F.col("n0") >= LEAST)).select("term", z.alias("z")).where(F.col("z") >= SURE).orderBy(F.desc("z"), "term").limit(TERMS)
         vocabulary |= {r[0] for r in best.collect()}
     chain = Chain(categories, sorted(vocabulary), [])
 
