@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import event_queries, matching_queries, spatial_queries, tabular_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (tabular_queries, event_queries, spatial_queries, matching_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
