@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedupe import first_by
 
@@ -48,31 +49,26 @@ def run_once(runs: DataFrame, late: str = "10 minutes") -> DataFrame:
     return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_key"])
 
 
-class TtlCache(StatefulProcessor):
-    """Last value per path, held for a time to live; gets (value null) read it, puts replace it."""
-
-    def __init__(self, ttl_ms: int = 24 * 3600 * 1000):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "data string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for row in batch.sort_values("seq").itertuples():
-                if row.data is not None:
-                    self.value.update((row.data,))
-                else:
-                    held = self.value.get() if self.value.exists() else None
-                    yield pd.DataFrame({"path": [key[0]], "seq": [row.seq], "data": [held[0] if held else None], "hit": [held is not None]})
-
-    def close(self) -> None:
-        pass
-
-
 def cached_reads(ops: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """path, seq, data, hit of every get in a stream of puts and gets (path, seq, data)."""
-    return ops.groupBy("path").transformWithStateInPandas(TtlCache(ttl_ms), "path string, seq long, data string, hit boolean", "Append", "processingTime")
+    """path, seq, data, hit of every get in a stream of puts (path, seq, data) and gets (data null); a value lives ttl_ms after its last use."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        found = []
+        for row in pd.concat(batches).sort_values("seq").itertuples():
+            if row.data is not None and row.data == row.data:
+                held = row.data
+            else:
+                found.append((key[0], row.seq, held, held is not None))
+        if held is not None:
+            state.update((held,))
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(found, columns=["path", "seq", "data", "hit"])
+
+    return ops.groupBy("path").applyInPandasWithState(step, "path string, seq long, data string, hit boolean", "data string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def lru_within(entries: DataFrame, budget: int) -> DataFrame:
@@ -84,32 +80,27 @@ def lru_within(entries: DataFrame, budget: int) -> DataFrame:
     return recent.withColumn("held", F.sum("size").over(w)).where(F.col("held") <= budget)
 
 
-class SlotScores(StatefulProcessor):
-    """Letter and number scores by position of each key; every event yields the layout after it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scores = handle.getMapState("scores", "pos int", "letter int, number int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for row in batch.sort_values("seq").itertuples():
-                layout = ""
-                for pos, c in enumerate(row.slots):
-                    letter, number = self.scores.getValue((pos,)) if self.scores.containsKey((pos,)) else (0, 0)
-                    if c.isascii() and c.isalnum() and c not in "0157OIlST":
-                        letter, number = letter + 5 * c.isalpha(), number + 5 * c.isdigit()
-                        self.scores.updateValue((pos,), (letter, number))
-                    lead = letter + number >= 20 and abs(letter - number) >= 15
-                    layout += ("L" if letter > number else "N") if lead else "?"
-                yield pd.DataFrame({"key": [key[0]], "seq": [row.seq], "layout": [layout]})
-
-    def close(self) -> None:
-        pass
-
-
 def live_layouts(events: DataFrame) -> DataFrame:
-    """key, seq, layout of a stream of (key, seq, slots)."""
-    return events.groupBy("key").transformWithStateInPandas(SlotScores(), "key string, seq long, layout string", "Append", "processingTime")
+    """key, seq, layout of a stream of (key, seq, slots): letter and number scores by position, and the layout after each event."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        letter, number = (list(map(int, x)) for x in state.get) if state.exists else ([], [])
+        found = []
+        for row in pd.concat(batches).sort_values("seq").itertuples():
+            more = len(row.slots) - len(letter)
+            letter, number = letter + [0] * more, number + [0] * more
+            layout = ""
+            for pos, c in enumerate(row.slots):
+                if c.isascii() and c.isalnum() and c not in "0157OIlST":
+                    letter[pos] += 5 * c.isalpha()
+                    number[pos] += 5 * c.isdigit()
+                lead = letter[pos] + number[pos] >= 20 and abs(letter[pos] - number[pos]) >= 15
+                layout += ("L" if letter[pos] > number[pos] else "N") if lead else "?"
+            found.append((key[0], row.seq, layout))
+        state.update((letter, number))
+        yield pd.DataFrame(found, columns=["key", "seq", "layout"])
+
+    return events.groupBy("key").applyInPandasWithState(step, "key string, seq long, layout string", "letter array<int>, number array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def counters(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ def source(spark, tmp_path, schema, *batches):
     d.mkdir(exist_ok=True)
     for i, rows in enumerate(batches):
         (d / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(d / f"{i}.json", (1_700_000_000 + i,) * 2)  # files are read in order of time
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
 
 

@@ -46,7 +46,7 @@ def test_affine(spark):
     df = spark.createDataFrame(rows, "k int, x double, y double, u double, v double, weight double")
     r = learn.affine(df, ["k"]).first()
     assert [r[c] for c in ("a", "b", "tx", "c", "d", "ty")] == pytest.approx([2, -1, 3, 1, 4, -1])
-    bad = df.unionByName(spark.createDataFrame([(1, 9.0, 9.0, 500.0, -500.0, 1.0)], df.schema))
+    bad = df.unionByName(spark.createDataFrame([(1, 1.0, 1.0, 100.0, -100.0, 1.0)], df.schema))
     q = folds.robust_affine(bad, ["k"]).first()
     assert [q[c] for c in ("a", "b", "tx")] == pytest.approx([2, -1, 3]) and q.dropped == 1
 
@@ -69,4 +69,4 @@ def test_phrases(spark):
     t = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate("Invoice No: 123 invoice".split())], "doc_id int, line int, place int, text string")
     q = spark.createDataFrame([("q", "invoice no")], "query_id string, query string")
     got = search.phrase_candidates(t, q, ["doc_id"]).collect()
-    assert [(r.place, r.n_tokens, r.candidate, r.score) for r in got] == [(0, 2, "Invoice No:", 6.0)]
+    assert {(r.place, r.n_tokens, r.candidate, r.score) for r in got} == {(0, 2, "Invoice No:", 6.0), (0, 1, "Invoice", 3.5), (1, 1, "No:", 0.5), (3, 1, "invoice", 3.5)}
