@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,7 +87,11 @@ def test_live_layouts(spark, tmp_path):
 def test_ttl_cache(spark, tmp_path):
     ops = source(spark, tmp_path, "path string, seq long, data string", [{"path": "a", "seq": 0, "data": "v"}, {"path": "a", "seq": 1}, {"path": "b", "seq": 2}])
     q = stateful.cached_reads(ops).writeStream.format("memory").queryName("cache").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).start()
-    run(q)
+    for _ in range(80):  # with a timeout set, batches never end by themselves
+        if spark.table("cache").count() == 2:
+            break
+        time.sleep(0.5)
+    q.stop()
     assert {(r.path, r.data, r.hit) for r in spark.table("cache").collect()} == {("a", "v", True), ("b", None, False)}
 
 
