@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, scratch, small_batches
+from .common import filesystem, hash_sample, materialize, scratch, small_batches
 
-LEAST, RUN, FAN, SAMPLE, PER_RANGE, CHUNK, LEVEL = 1000, 1 << 17, 128, 10000, 1 << 16, 1 << 16, 1
+LEAST, RUN, FAN, SAMPLE, PER_RANGE, PER_TASK, CHUNK, LEVEL = 1000, 1 << 17, 128, 10000, 1 << 16, 1 << 14, 1 << 16, 1
 INDEX = "page_id long, url_key string, time string, file string, offset long, length long"
 
 
@@ -242,7 +242,8 @@ def read(index: DataFrame) -> DataFrame:
             f.close()
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    dealt = index.withColumn("part", F.floor(F.col("offset") / (4 << 20))).repartition("file", "part").sortWithinPartitions("file", "offset")
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, index.count() // PER_TASK)  # by number: entries are small, their records are not
+    dealt = index.withColumn("part", F.floor(F.col("offset") / (4 << 20))).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -250,9 +251,10 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     """Write the archives of a pages table below path and return their merged index, itself written there."""
     rows = captures(pages)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), url_key(F.col("url").cast("string")).alias("url_key"))
-    drawn = narrow.select("page_id", "url_key", capture_time(F.col("page_id")).alias("time")).orderBy(F.xxhash64("page_id", "url_key")).limit(SAMPLE).collect()
+    total = narrow.count()
+    drawn = hash_sample(narrow, SAMPLE, total, "page_id", "url_key").select("page_id", "url_key", capture_time(F.col("page_id")).alias("time")).collect()
     keys = sorted(line_key(r["url_key"], r["time"], r["page_id"]) for r in drawn)
-    parts = max(pages.sparkSession.sparkContext.defaultParallelism, narrow.count() // PER_RANGE)
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, total // PER_RANGE)
     bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
     return materialize(merge(write(rows, path, bounds), path), "warc-index")
 
