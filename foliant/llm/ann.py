@@ -1,6 +1,6 @@
 """Approximate nearest neighbours for the largest inner product: anisotropic product quantisation, four-bit scans, exact reranking.
 
-Codebooks of 16 centres per pair of dimensions are fitted on a bounded sample (SAMPLE rows, by hash of vec_id) under the
+Codebooks of 16 centres per pair of dimensions are fitted on a bounded sample (about SAMPLE rows, by hash of vec_id) under the
 score-aware loss |r|^2 + (eta - 1) (r.x)^2 / |x|^2, which weighs the residual r parallel to x more: codes are assigned by
 coordinate descent, centres by weighted least squares. Every row is then coded to half a byte per pair of dimensions.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hash_sample, materialize
 
 SAMPLE, CENTRES, ROUNDS, ETA, DEPTH, SHARD, GROUP = 8192, 16, 6, 4.0, 256, 16384, 2048
 
@@ -167,7 +167,7 @@ def search(vectors: DataFrame, chosen=None, k: int = 20, sample: int = SAMPLE, s
     dim = width[0] if width else 2
     rows = rows.where(F.size("v") == dim)
     sample = min(sample, max(CENTRES, SAMPLE_BYTES // (8 * dim)))
-    drawn = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v")
+    drawn = hash_sample(rows, sample, rows.count(), "vec_id").select("vec_id", "v").toArrow().sort_by("vec_id").column("v")
     pad = lambda a: np.pad(a, ((0, 0), (0, a.shape[1] % 2)))
     books = fit(pad(matrix(drawn)) if len(drawn) else np.zeros((1, dim + dim % 2)))
     queries, candidates = dealt(rows, chosen, shard, group)
