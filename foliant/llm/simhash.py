@@ -18,6 +18,7 @@ empty result. Only doc_id and text are read, so further columns cannot clash.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -212,13 +213,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(known, prints.fp == known["print"]).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, one of each near-duplicate component: a row of the smallest doc_id; of rows with that same doc_id
+def deduplicate(docs: DataFrame, labels: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The documents, one of each component that labels finds: a row of the smallest doc_id; of rows with that same doc_id
     the one with the smallest text hash, and of equal rows one."""
     keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__text": F.xxhash64(F.col("text"))}
     if set(keys) & set(docs.columns):
         raise ValueError(f"columns {list(keys)} are reserved")
-    heads = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("__t"))
+    heads = labels(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("__t"))
     heads = materialize(heads.select(F.coalesce("component_id", F.lit(-(2**63))).alias("__i"), "__t"), "simhash-keep")
     marked = docs.withColumns(keys)
     kept = marked.join(heads, (marked["__id"] == heads["__i"]) & (marked["__text"] == heads["__t"])).drop("__i", "__t")
