@@ -39,21 +39,23 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, n-gram hashes, their text's number from first) of stretches of the texts, about PIECE characters each."""
+def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, n-gram hashes, their text's number from first, whether each text has a letter) of stretches of the texts,
+    about PIECE characters each. Every text has a blank of its own at both ends, so no n-gram spans two texts."""
     at = 0
     while at < len(texts):
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) < PIECE):
-            size += len(texts[to]) + 3
+            size += len(texts[to]) + 2
             to += 1
         part = [t.lower() for t in texts[at:to]]
-        c = np.frombuffer("   ".join([*part, ""]).encode("utf-32-le", "replace"), "<u4")
-        owner = np.repeat(np.arange(to - at), [len(t) + 3 for t in part])[: len(c)]
+        c = np.frombuffer("".join(f" {t} " for t in part).encode("utf-32-le", "replace"), "<u4")
+        owner = np.repeat(np.arange(to - at), [len(t) + 2 for t in part])
         letter = letters()[c]
+        some = np.bincount(owner[letter], minlength=to - at) > 0
         c = np.where(letter, c, 0).astype(np.uint64)
         if len(c) < 3:
-            yield at, to, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            yield at, to, np.zeros(0, np.uint64), np.zeros(0, np.int64), some
         else:
             n = letter[:-2].astype(np.int8) + letter[1:-1] + letter[2:]
             keep = np.flatnonzero(n >= 2)
@@ -61,7 +63,7 @@ def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
             h ^= h >> np.uint64(32)
             h *= FACTORS[1]
             h ^= h >> np.uint64(29)
-            yield at, to, h, owner[keep]
+            yield at, to, h, owner[keep], some
         at = to
 
 
@@ -85,8 +87,9 @@ class Filter:
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each text's n-grams in each language [texts, languages], and whether it has a letter."""
         out = np.zeros((len(texts), len(self.languages)))
-        some = np.array([any(c.isalpha() for c in t) if len(t) < 64 else True for t in texts], bool)
-        for at, to, h, owner in grams(texts):
+        some = np.zeros(len(texts), bool)
+        for at, to, h, owner, letter in grams(texts):
+            some[at:to] = letter
             n = np.bincount(owner, minlength=to - at)
             rows = positions(h, self.bits)
             for w, table in enumerate(self.words):
@@ -96,8 +99,6 @@ class Filter:
                 for k in range(64 * w, min(64 * w + 64, len(self.languages))):
                     hit = np.bincount(owner, ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(np.float64), to - at)
                     out[at:to, k] = (hit / np.maximum(n, 1) - self.wrong[k]) / (1 - self.wrong[k])
-            for i in np.flatnonzero(n == 0):
-                some[at + i] = any(c.isalpha() for c in texts[at + i])
         return np.clip(out, 0, 1), some
 
 
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Filter:
         docs_of: dict[str, int] = {}
         for b in batches:
             lang, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
-            for at, to, h, owner in grams(texts):
+            for at, to, h, owner, _ in grams(texts):
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 first = np.ones(len(h), bool)

@@ -30,6 +30,20 @@ def test_language_of_held_out(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_long_text_without_a_letter_is_und(spark):
+    rows = [(i, t, "en", "s", 0.0, "") for i, t in enumerate(["12345 " * 12, "of it", "- " * 40, "of it", "1 2 3", "the of it"])]
+    model = langid.Filter(["en"], [np.concatenate([h for _, _, h, *_ in langid.grams(["the of it"])])])
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, SCHEMA).coalesce(1), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["und", "en"] * 3 and [got[i].score for i in (0, 2, 4)] == [0, 0, 0]
+    assert {r.doc_id for r in langid.keep(spark.createDataFrame(rows, SCHEMA).coalesce(1), model, 0.001).collect()} == {1, 3, 5}
+
+
+def test_no_ngram_spans_two_texts():
+    alone = [np.sort(h).tolist() for t in ("12345 ", "of it", "a") for _, _, h, *_ in langid.grams([t])]
+    for _, _, h, owner, some in langid.grams(["12345 ", "of it", "a"]):
+        assert [np.sort(h[owner == k]).tolist() for k in range(3)] == alone and some.tolist() == [False, True, True]
+
+
 def test_filter_has_no_false_negatives_and_corrects():
     sets = [np.arange(k, 30000, 3, dtype=np.uint64) * langid.FACTORS[0] for k in range(70)]
     f = langid.Filter([f"l{k:02d}" for k in range(70)], sets)
