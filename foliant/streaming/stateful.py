@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.components import _checkpoint
 from ..operators.dedupe import first_by
 
+#: Recency blocks of the cache table.
+BLOCKS = 256
+
 
 def latest_per_path(ops: DataFrame) -> DataFrame:
     """The last operation of each path."""
@@ -75,9 +79,14 @@ def lru_within(entries: DataFrame, budget: int) -> DataFrame:
     """Cache entries that fit the budget, most recently used first (batch form of eviction); sums by recency block, then inside it."""
     from pyspark.sql import Window
 
-    w = Window.orderBy(F.desc("accessed_at"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    recent = entries.orderBy(F.desc("accessed_at"), "path").limit(100_000)  # an entry has a byte at least; budgets beyond that need a larger bound
-    return recent.withColumn("held", F.sum("size").over(w)).where(F.col("held") <= budget)
+    dealt = entries.repartitionByRange(BLOCKS, F.desc("accessed_at"), F.col("path")).withColumn("__block", F.spark_partition_id())
+    dealt = _checkpoint(dealt)  # the blocks' borders are sampled, so they are drawn once
+    sums = dealt.groupBy("__block").agg(F.sum("size").alias("__sum"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("__block").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")).where(F.col("__before") <= budget)
+    inner = Window.partitionBy("__block").orderBy(F.desc("accessed_at"), "path").rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.join(sums, F.col("__block") == F.col("__b")).withColumn("held", F.col("__before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    return held.where(F.col("held") <= budget).select(*entries.columns, "held")
 
 
 def live_layouts(events: DataFrame) -> DataFrame:

@@ -107,3 +107,9 @@ def test_lru(spark):
     assert {r.path for r in stateful.lru_within(e, 10).collect()} == {"a", "b"}
     assert writers.report(e.orderBy("path"), "Cache", "%s=%d", ["path", "size"]) == "Cache\na=5\nb=5\nc=5"
     assert F.col("a") is not None
+
+
+def test_lru_holds_every_entry_that_fits(spark):
+    e = spark.range(120_000).select(F.format_string("p%06d", "id").alias("path"), (F.col("id") % 3 + 1).cast("int").alias("size"), (-F.col("id") / 7).cast("int").alias("accessed_at"))
+    got = stateful.lru_within(e, 230_000)
+    assert got.count() == 115_000 and got.agg(F.max("path"), F.max("held")).first() == ("p114999", 229_999)
