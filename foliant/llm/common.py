@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset on a local master (tests) one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="foliant-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -33,7 +37,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back; lost executors then cost no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables; call it only when all that is computed from them has been written."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        found.append(n)
+    return found
 
 
 def hash_sample(df: DataFrame, n: int, total: int, *keys) -> DataFrame:
@@ -61,3 +87,26 @@ def filesystem(uri: str):
             uri = uri[5:]
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def save_arrays(folder: str, **arrays) -> str:
+    """Write numpy arrays to a new file in a shared folder; its path. A task that is repeated writes another file."""
+    import numpy as np
+
+    path, data = f"{folder}/{uuid.uuid4().hex}.npz", io.BytesIO()
+    np.savez(data, **arrays)
+    fs, inner = filesystem(path)
+    fs.create_dir(inner.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(inner, compression=None) as out:
+        out.write(data.getbuffer())
+    return path
+
+
+def load_arrays(path: str) -> dict:
+    """The arrays of save_arrays()."""
+    import numpy as np
+
+    fs, inner = filesystem(path)
+    with fs.open_input_stream(inner, compression=None) as f:
+        with np.load(io.BytesIO(f.read()), allow_pickle=False) as found:
+            return {k: found[k] for k in found.files}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import discard, fresh, materialize, small_batches
 
 SEED, WORDS, RADIUS, BLOCKS, CAP = 42, 3, 3, 5, 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -216,11 +216,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, labels: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents, one of each component that labels finds: a row of the smallest doc_id; of rows with that same doc_id
     the one with the smallest text hash, and of equal rows one."""
-    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__text": F.xxhash64(F.col("text"))}
-    if set(keys) & set(docs.columns):
-        raise ValueError(f"columns {list(keys)} are reserved")
-    heads = labels(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("__t"))
-    heads = materialize(heads.select(F.coalesce("component_id", F.lit(-(2**63))).alias("__i"), "__t"), "simhash-keep")
-    marked = docs.withColumns(keys)
-    kept = marked.join(heads, (marked["__id"] == heads["__i"]) & (marked["__text"] == heads["__t"])).drop("__i", "__t")
-    return kept.dropDuplicates(list(keys)).drop(*keys)
+    i, t = fresh(docs, "id", "text_key")
+    heads = labels(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("least"))
+    heads = materialize(heads.select(F.coalesce("component_id", F.lit(-(2**63))).alias("head"), "least"), "simhash-keep")
+    marked = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), t: F.xxhash64(F.col("text"))})
+    kept = marked.join(heads, (marked[i] == heads["head"]) & (marked[t] == heads["least"]), "left_semi")
+    return kept.dropDuplicates([i, t]).drop(i, t)

@@ -66,6 +66,49 @@ def test_mix_of_nothing_and_resampling(spark):
     assert "Python" not in native and "Arrow" not in native
 
 
+def test_mix_is_read_in_the_order_of_the_schedule(spark):
+    docs = [(i, "abc"[i % 3], " ".join(f"{i}.{k}" for k in range(1 + (i * 11) % 70)), "", 0, 0) for i in range(200)]
+    docs += [(500, "a", " ".join(f"x{k}" for k in range(900)), "", 0, 0), (None, "b", "no id here", "", 0, 0), (None, "b", "nor here", "", 0, 0), (7, "b", docs[7][2], "", 0, 0)]
+    df = spark.createDataFrame(docs, DOCS)
+    rows = mixing.blocks(df, 16).orderBy("time", "p").collect()
+    goal = {r.source: r for r in mixing.mix(df, 16).collect()}
+    times = sorted({r.time: r.source for r in rows}.items())
+    for s in "abc":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.stop - r.start for r in own) - goal[s].target) < 1 + 1e-6
+        assert [r["pass"] for r in own] == sorted(r["pass"] for r in own)  # every block once before any comes again
+        share = sum(x == s for _, x in times) / len(times)
+        assert all(abs(sum(x == s for _, x in times[:n]) - share * n) < 8 for n in range(len(times)))
+    taken = {}
+    for r in rows:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.stop - r.start
+    by_mix = {}
+    for r in mixing.mix(df, 16).where("taken > 0").collect():
+        by_mix[r.doc_id] = by_mix.get(r.doc_id, 0) + r.taken
+    assert taken == by_mix
+
+
+def test_resampled_cuts_the_last_pass_and_meets_the_targets(spark):
+    docs = [(i, "abc"[i % 3], " \n" * (i % 2) + "  ".join(f"{i}.{k}" for k in range((i * 11) % 70)) + " ", "", 0, 0, 5, {"m": 1}) for i in range(200)]
+    docs += [docs[4], docs[4], (None, "b", "no id here", "", 0, 0, 0, None), (None, None, None, "", 0, 0, 0, None), (9, "c", "", "", 0, 0, 0, None)]
+    df = spark.createDataFrame(docs, DOCS + ", n_chars long, row map<string,int>")
+    out = mixing.resampled(df, 16)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    rows, mix = out.collect(), mixing.mix(df, 16).collect()
+    whole = {(d[0], d[2]) for d in docs}
+    cut = [r for r in rows if (r.doc_id, r.text) not in whole]
+    assert 0 < len(cut) <= 3 and all(any(d == r.doc_id and t.startswith(r.text) for d, t in whole if t) for r in cut)
+    assert all(r.n_chars == len(r.text) for r in rows)
+    count = lambda t: len(re.findall(mixing.WORD, t))
+    for s in "abc":
+        assert abs(sum(count(r.text) for r in rows if r.source == s) - next(m.target for m in mix if m.source == s)) < 1 + 1e-6
+    taken = {}
+    for m in mix:
+        taken[m.doc_id] = taken.get(m.doc_id, 0) + m.taken
+    for d in {r.doc_id for r in rows}:
+        assert sum(count(r.text) for r in rows if r.doc_id == d) == taken[d]
+
+
 MESSAGES = "conv_id long, turn long, role string, text string"
 
 
