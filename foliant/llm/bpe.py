@@ -1,16 +1,21 @@
 """BPE encoding by tree concatenation, and decoding.
 
-White space bounds every pre-token of the vocabularies served here, so a text falls into units at white space and each
-unit is encoded once and remembered. A pre-token that stays unsplit and is longer than LEAF is encoded as a tree: its
-halves are encoded apart (long ones in parallel threads), then windows around the join, 2, 4, 8, ... tokens to either
-side, are encoded again until the first token of the window equals the left half's and the last one the right half's.
-Every adjacent pair of the spliced sequence then occurs in one BPE encoding, so the sequence is the encoding of the
-whole. Both kinds of vocabulary are covered: byte-level without normalizer ("byte"; a unit begins with its space) and
-lower-case words with an end-of-word suffix ("word"; white space is dropped). Texts outside the rules proven for the
-units (special tokens, runs of spaces) go to the library whole.
+A text of over SPAN characters is cut in the middle, wherever that falls; its halves are encoded apart (long ones in parallel
+threads), down to SPAN. Then windows around each join, 1, 2, 4, ... units to either side, are encoded again, until the first
+unit of the window and the last one are what the halves have there, text and ids. As a unit ends at white space, which can be
+seen in two neighbouring characters, what lies beyond such a unit cannot change, so the spliced sequence is exactly the
+encoding of the whole. A short text, the leaf of the tree, is a list of units; each is encoded once and remembered.
+
+An unsplit pre-token longer than LEAF is a tree of its own, of tokens: its halves are encoded apart, then windows of 2, 4, 8, ...
+tokens around the join, until the first token of the window equals the left half's and the last one the right half's. Every
+adjacent pair of the spliced sequence then occurs in one BPE encoding, so the sequence is the encoding of the whole.
+
+Both kinds of vocabulary are covered: byte-level without normalizer ("byte"; a unit begins with its space) and lower-case
+words with an end-of-word suffix ("word"; white space is dropped). Texts outside the rules proven for the units (special
+tokens, runs of spaces) go to the library whole.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; repeated rows stay; an empty table
-gives an empty result. Only doc_id and text are read. Memory is bounded by CACHE entries and one batch of texts.
+gives an empty result. Only doc_id and text are read. Memory is bounded by CACHE entries and one portion of a batch of texts.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import portions
 
-LEAF, CACHE, PARALLEL = 24, 400_000, 1 << 14
+SPAN, LEAF, CACHE, PARALLEL = 1024, 24, 400_000, 1 << 14
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,7 +47,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Bpe:
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, span: int = SPAN):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
@@ -53,14 +58,15 @@ class Bpe:
         self.library.no_truncation()
         self.library.no_padding()
         model = spec["model"]
+        self.span, self.joins = max(2, span), 0
         self.leaf, self.kind = leaf, "word" if model.get("end_of_word_suffix") else "byte"
         self.model = self.library.model
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = BPE(model["vocab"], merges) if self.kind == "word" else self.model  # for pieces that do not end their word
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pieces = regex.compile(WORD_PATTERN if self.kind == "word" else BYTE_PATTERN).findall
-        self.unsafe = regex.compile(r"\s\s\s|\s\s\Z|[\x1c-\x1f\x00]").search
         self.odd = regex.compile(r"[\x1c-\x1f]").search
+        self.unsafe = regex.compile(r"\s\s\s|\s\s\Z|[\x1c-\x1f\x00]").search
         self.alphabet = byte_alphabet()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(size)]
@@ -136,25 +142,58 @@ class Bpe:
             self.units[unit] = found
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._library(text)
+    def split(self, text: str) -> list[str]:
+        """The units of a text within the rules."""
         if self.kind == "word":
-            if self.odd(text):
-                return self._library(text)
-            units = text.split()
-            found = list(map(self.units.get, units))
-        else:
-            if self.unsafe(text):
-                return self._library(text)
-            units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            found = list(map(self.units.get, units))
+            return text.split()
+        return [u for u in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if u]
+
+    def leaves(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit."""
+        found = list(map(self.units.get, units))
         if None in found:
             found = [f if f is not None else self.units.get(u) or self._unit(u) for u, f in zip(units, found)]
-        return b"".join(found)
+        return found
+
+    def concatenated(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Units and their ids of a text within the rules, by tree concatenation."""
+        if len(text) <= self.span:
+            units = self.split(text)
+            return units, self.leaves(units)
+        half = len(text) // 2
+        parts = (text[:half], text[half:])
+        if len(text) > PARALLEL:
+            with ThreadPoolExecutor(2) as pool:
+                left, right = pool.map(self.concatenated, parts)
+        else:
+            left, right = map(self.concatenated, parts)
+        return self.splice(left, right, " " if self.kind == "word" else "", text[half - 1].isspace() or text[half].isspace())
+
+    def splice(self, left: tuple[list, list], right: tuple[list, list], between: str, apart: bool) -> tuple[list, list]:
+        """One sequence of two; between: what stood between the units of either, apart: it also stands at the join."""
+        (units, ids), (units_2, ids_2), w = left, right, 1
+        while True:
+            a, b = max(0, len(units) - w), min(w, len(units_2))
+            window = self.split(between.join(units[a:]) + (between if apart else "") + between.join(units_2[:b]))
+            found = self.leaves(window)
+            self.joins += 1
+            starts_alike = a == 0 or (window[0], found[0]) == (units[a], ids[a])
+            if starts_alike and (b == len(units_2) or (window[-1], found[-1]) == (units_2[b - 1], ids_2[b - 1])):
+                units[a:], ids[a:] = window + units_2[b:], found + ids_2[b:]
+                return units, ids
+            w *= 2
+
+    def outside(self, text: str) -> bool:
+        """Whether the rules for units do not hold for a text."""
+        return any(s in text for s in self.special) or bool((self.odd if self.kind == "word" else self.unsafe)(text))
+
+    def encode(self, text: str | None, tree: bool = True) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers; tree: long texts by tree concatenation, else unit by unit."""
+        if not text:
+            return b""
+        if self.outside(text):
+            return self._library(text)
+        return b"".join(self.concatenated(text)[1] if tree else self.leaves(self.split(text)))
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with skip_special_tokens=False."""
@@ -172,11 +211,10 @@ def encoder(path: str) -> Bpe:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = encoder(path)
-        for b in batches:
+        for b in portions(batches):
             ids = [np.frombuffer(bpe.encode(t), "<u4") for t in b.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -187,12 +225,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """The columns of the op5 contract: encode, then decode from the ids, in one pass over the texts."""
-    small_batches(docs.sparkSession)
     sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def run(batches):
         bpe = encoder(path)
-        for b in batches:
+        for b in portions(batches):
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
                 ids = np.frombuffer(bpe.encode(t), "<u4").tolist()

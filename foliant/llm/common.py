@@ -69,9 +69,13 @@ def hash_sample(df: DataFrame, n: int, total: int, *keys) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(1 << 30)) < F.lit(int((1 << 30) * n / total)))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small enough for the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches, rows: int = 1000, size: int = 4 << 20):
+    """Arrow batches cut into slices of at most `rows` rows and about `size` bytes, so that the Python objects made of them stay few.
+    Spark itself bounds the batches by spark.sql.execution.arrow.maxBytesPerBatch."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

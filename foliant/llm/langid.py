@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import portions
 
 PER_LANG, GRAMS, MIN_RATE, SHARE, BITS, HASHES, PIECE = 2000, 20000, 0.002, 0.3, 18, 3, 1 << 18
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -108,7 +108,6 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Filter:
     """The filter learned from the documents that are not held out and have a language."""
-    small_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
@@ -121,7 +120,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Filter:
     def count(batches):
         tables: dict[str, list[np.ndarray]] = {}
         docs_of: dict[str, int] = {}
-        for b in batches:
+        for b in portions(batches):
             lang, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
             for at, to, h, owner, _ in grams(texts):
                 order = np.lexsort((h, owner))
@@ -147,13 +146,12 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Filter:
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, held_out, lang_pred, score (margin of the best language's share over the second's) of every row."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         names = np.array([*m.languages, "und"], object)
-        for b in batches:
+        for b in portions(batches):
             best, score = np.full(b.num_rows, len(m.languages)), np.zeros(b.num_rows)
             texts = [t or "" for t in b.column(2).to_pylist()]
             if m.languages and texts:
@@ -169,12 +167,11 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 
 def keep(docs: DataFrame, model: Filter, least: float) -> DataFrame:
     """The documents with a language whose score is at least `least`, all columns kept."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in portions(batches):
             texts = [t or "" for t in b.column("text").cast(pa.string()).to_pylist()]
             if not texts or not m.languages:
                 continue

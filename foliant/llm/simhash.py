@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, small_batches
+from .common import discard, fresh, materialize, portions
 
 SEED, WORDS, RADIUS, BLOCKS, CAP = 42, 3, 3, 5, 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -54,10 +54,9 @@ def simhash(text: str | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long), text_key (xxhash64 of the text) of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             fp = np.fromiter((simhash(t, words) for t in b.column(1).to_pylist()), "<u8", b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8")), b.column(2)], names=["doc_id", "fp", "text_key"])
 

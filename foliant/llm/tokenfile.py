@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import filesystem, materialize, scratch, small_batches
+from .common import filesystem, materialize, portions, scratch
 
 MAGIC, SEGMENT, BLOCK, LANES, LOW = b"RANSTOK1", 1 << 21, 1 << 15, 64, np.uint64(1 << 31)
 DENSE = 1 << 22  # ids below this are counted in a table, others by sorting
@@ -172,7 +172,6 @@ def unpack(data: bytes, blocks: range | None = None) -> tuple[list[int | None],
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame:
     """Write token files into path; the written manifest: part, file, offset, length, before (tokens of the file before), tokens."""
-    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.withColumn("part", F.spark_partition_id())
@@ -190,13 +189,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
             found.append((part, name, at, len(data), before, size))
             at, before, held, size = at + len(data), before + size, [], 0
 
-        for b in batches:
+        for b in portions(batches):
             for d, t, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if out is None:
                     fs, inner = filesystem(name)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner, compression=None)
-                ids = np.concatenate([np.frombuffer(bpe.encode(t), "<u4"), end])
+                ids = np.concatenate([np.frombuffer(bpe.encode(t, tree=False), "<u4"), end])
                 held.append((d, ids))
                 size += len(ids)
                 if size >= SEGMENT:

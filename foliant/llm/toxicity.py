@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialize, small_batches
+from .common import hash_sample, materialize, portions
 
 SAMPLE, TERMS, FOLDS, STEPS, DECAY, LEAST, SURE, PREFIXES, MEMORY = 10000, 1500, 5, 300, 1e-4, 4, 6.0, (4, 5, 6), 1 << 18
 _words = re.compile(r"[^\W\d_]+").findall
@@ -112,13 +112,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories: list[str], sample:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain:
     """The chain for the 0/1 label columns `categories`, in this order."""
-    small_batches(docs.sparkSession)
     rows, c = _labelled(docs, labels, categories, sample), len(categories)
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
         total = np.zeros(c + 1, np.int64)
-        for b in batches:
+        for b in portions(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 one = np.array([1, *y], np.int64)
                 total += one
@@ -146,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
     chain = Chain(categories, sorted(vocabulary), [])
 
     def measure(batches):
-        for b in batches:
+        for b in portions(batches):
             f = [chain.features(t) for t in b.column(1).to_pylist()]
             fold = [zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t for t, _ in f], pa.list_(pa.int32())), pa.array([d for _, d in f], pa.list_(pa.float64())), pa.array(fold, pa.int32())], names=["doc_id", "y", "t", "d", "fold"])
@@ -174,11 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
 
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> of every row."""
-    small_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             p = 1 / (1 + np.exp(-chain.logits([t or "" for t in b.column(1).to_pylist()])))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *names])
 
@@ -187,12 +185,11 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def keep(docs: DataFrame, chain: Chain, category: str, most: float = 0.5) -> DataFrame:
     """The documents whose probability of the category is below `most`, all columns kept."""
-    small_batches(docs.sparkSession)
     k = chain.categories.index(category)
     limit = float(np.log(most / (1 - most)))
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             texts = [t or "" for t in b.column("text").cast(pa.string()).to_pylist()]
             if texts:
                 yield b.filter(pa.array(chain.logits(texts)[:, k] < limit))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, hash_sample, materialize, scratch, small_batches
+from .common import filesystem, hash_sample, materialize, portions, scratch
 
 LEAST, RUN, FAN, SAMPLE, PER_RANGE, PER_TASK, CHUNK, LEVEL = 1000, 1 << 17, 128, 10000, 1 << 16, 1 << 14, 1 << 16, 1
 INDEX = "page_id long, url_key string, time string, file string, offset long, length long"
@@ -162,7 +162,6 @@ def merged(slices: list[tuple[str, int, int]], folder: str, fan: int = FAN) -> I
 
 def write(rows: DataFrame, path: str, bounds: list[str]) -> DataFrame:
     """Write WARC files and index runs of captures(); the written manifest: range, run, offset, length of every slice."""
-    small_batches(rows.sparkSession)
 
     def run(batches):
         fs = out = None
@@ -186,7 +185,7 @@ def write(rows: DataFrame, path: str, bounds: list[str]) -> DataFrame:
             lines = []
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["range", "run", "offset", "length"])
 
-        for b in batches:
+        for b in portions(batches):
             for row in b.to_pylist():
                 if out is None:
                     fs, inner = filesystem(warc)

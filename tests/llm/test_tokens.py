@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,13 +23,27 @@ def samples():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_encoder_equals_library(name):
-    library, own = Tokenizer.from_file(vocabulary(name)), bpe.Bpe(vocabulary(name), leaf=6)
+    library, own = Tokenizer.from_file(vocabulary(name)), bpe.Bpe(vocabulary(name), leaf=6, span=9)
     for t in samples():
         want = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == want, t[:60]
+        for tree in (True, False):
+            assert np.frombuffer(own.encode(t, tree), "<u4").tolist() == want, t[:60]
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_tree_concatenates_the_shared_documents(name):
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t]
+    long = [t for t in texts if len(t) > bpe.SPAN] + [" ".join(texts[:40])]
+    library, own = Tokenizer.from_file(vocabulary(name)), bpe.Bpe(vocabulary(name))
+    for t in long:
+        before = own.joins
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        # a text of n spans has at least n - 1 joins, and each window is a few units wide
+        assert own.joins - before >= -(-len(t) // bpe.SPAN) - 1
+    assert len(long) > 50 and own.joins > 200
+
+
 def test_bpe_digests(spark):
     library = Tokenizer.from_file(vocabulary(NAMES[1]))
     rows = [(1, "Hello  wörld"), (2, None), (3, ""), (3, "Hello"), (None, "x" * 3000)]
