@@ -1,44 +1,34 @@
 """Approximate nearest neighbours for the largest inner product: anisotropic product quantisation, four-bit scans, exact reranking.
 
-Codebooks of 16 centres per pair of dimensions are fitted on a bounded sample (about SAMPLE rows, by hash of vec_id) under the
+Codebooks of 16 centres per pair of dimensions are fitted on a bounded sample (about SAMPLE rows, by hash of the row) under the
 score-aware loss |r|^2 + (eta - 1) (r.x)^2 / |x|^2, which weighs the residual r parallel to x more: codes are assigned by
-coordinate descent, centres by weighted least squares. Every row is then coded to half a byte per pair of dimensions.
+coordinate descent, centres by weighted least squares. Every row is coded once, to half a byte per pair of dimensions, in the
+shard that the hash of its row gives; a shard is a written file. Equal vectors of a shard share one code and keep all their ids.
 
-Rows are dealt to shards and queries to groups by hash; each (group, shard) is one task of bounded size. There a query's
-sixteen-entry tables, rounded to integers and joined by two to 256 entries, are scanned over the packed codes; the best
-DEPTH codes are scored exactly in double precision on the original vectors, and the best k of all shards remain.
+Tasks load shards and stream the written groups of queries past them (vectors.scan). A query's sixteen-entry tables, rounded
+to integers and joined by two to 256 entries, are scanned over the packed codes; the best DEPTH distinct vectors of the shard
+are scored exactly in double precision on the original vectors, and the best k of all shards remain.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with null vec_id, take no
-part; vectors of another length than the commonest take none either; equal scores go to the smaller vec_id, equal codes
-are kept in that order too; of rows with equal vec_id and vector all take part; an empty table gives an empty result.
+part; vectors of different lengths have no inner product, so each length is a search of its own; equal scores go to the
+smaller vec_id, equal codes are kept in that order too. A query is a row: rows that repeat a vec_id each get an answer of
+their own, and such a twin is a candidate for the other. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialize
+from . import vectors as V
+from .common import hash_sample
 
 SAMPLE, CENTRES, ROUNDS, ETA, DEPTH, SHARD, GROUP = 8192, 16, 6, 4.0, 256, 16384, 2048
 
-
 SAMPLE_BYTES = 32 << 20
 
 
-def usable(vectors: DataFrame, zero: bool = False) -> DataFrame:
-    """vec_id, v (array of double) of the rows that take part; zero: zero vectors do too."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (F.size(v) > 0)
-    if not zero:
-        fine = fine & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-
-
 def assign(x: np.ndarray, centres: np.ndarray, eta: float = ETA, sweeps: int = 2) -> np.ndarray:
     """Codes [n, m] of x [n, 2 m] by coordinate descent on the anisotropic loss; centres: [m, CENTRES, 2]."""
     m, n = len(centres), len(x)
@@ -105,82 +95,79 @@ def tables(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (t[::2, None, :] + t[1::2, :, None]).reshape(len(t) // 2, 256)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, centres: np.ndarray, k: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, id, exact score) of each query's best k among rows x, by scan and reranking. All padded to the book's width."""
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    codes, n = packed(x, centres), len(x)
-    columns = np.ascontiguousarray(x.T)
+def shard_of(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, centres: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a shard: distinct vectors x in order of their smallest id, their codes, and the ids and rows of each from start[i] to start[i + 1]."""
+    _, first, own = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")  # ids ascend, so the first row has the smallest
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    own = place[own.reshape(-1)]
+    by = np.argsort(own, kind="stable")
+    distinct = x[first[order]]
+    return {"x": distinct, "codes": packed(padded(distinct), centres), "ids": ids[by], "rows": rows[by], "start": np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(order)))])}
+
+
+def padded(x: np.ndarray) -> np.ndarray:
+    """x as doubles with an even number of dimensions."""
+    return np.pad(x.astype(np.float64), ((0, 0), (0, x.shape[1] % 2)))
+
+
+def best(q: np.ndarray, q_rows: np.ndarray, shard: dict, centres: np.ndarray, k: int, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
+    """(query's place, row, id, exact score) of each query's best k in a shard, by scan and reranking."""
+    codes, start, n = shard["codes"], shard["start"], len(shard["x"])
+    columns = np.ascontiguousarray(shard["x"].T.astype(np.float64))
     late = np.arange(n - 1, -1, -1)
-    rows, found, scores = [], [], []
+    wide = padded(q)
     total, step = np.empty(n, np.int64), np.empty(n, np.int32)
+    out = []
     for i in range(len(q)):
-        if n > depth + 1:
-            t = tables(q[i], centres)
+        if n > depth:
+            t = tables(wide[i], centres)
             step[:] = t[0][codes[0]]
             for j in range(1, len(codes)):
                 step += t[j].take(codes[j])
             np.multiply(step, n, out=total, dtype=np.int64)
             total += late  # equal sums in order of id
-            pick = np.argpartition(total, n - depth - 1)[n - depth - 1 :]
+            pick = np.argpartition(total, n - depth)[n - depth :]
         else:
             pick = np.arange(n)
-        pick = pick[ids[pick] != q_ids[i]]
         exact = np.zeros(len(pick))
-        for d in range(x.shape[1]):
-            exact += columns[d][pick] * q[i, d]
-        top = np.lexsort((ids[pick], -exact))[:k]
-        rows.append(np.full(len(top), i))
-        found.append(ids[pick[top]])
-        scores.append(exact[top])
+        for d in range(q.shape[1]):
+            exact += columns[d][pick] * float(q[i, d])
+        some = np.lexsort((pick, -exact))[: k + 1]  # one of them may be the query itself
+        copies = np.minimum(start[pick[some] + 1] - start[pick[some]], k + 1)
+        at = np.repeat(start[pick[some]] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+        score = np.repeat(exact[some], copies)
+        fine = shard["rows"][at] != q_rows[i]
+        at, score = at[fine], score[fine]
+        top = np.lexsort((shard["rows"][at], shard["ids"][at], -score))[:k]
+        out.append((np.full(len(top), i), shard["rows"][at[top]], shard["ids"][at[top]], score[top]))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(found), np.concatenate(scores)) if rows else (none, none, np.zeros(0))
-
-
-def matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists as an array."""
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (none, none, none, np.zeros(0))
 
-def dealt(rows: DataFrame, chosen, shard: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(queries, candidates), each row repeated for the tasks (g, s) that need it; groups and shards have bounded size by their number."""
-    n, asked = rows.agg(F.count("*"), F.count(F.when(chosen, 1))).first()
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, math.ceil(asked / group))
-    shards = max(1, math.ceil(n / shard), min(math.ceil(4 * least / groups), n // 1024))
-    mine = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    return rows.where(chosen).select("vec_id", "v", mine(1, groups).alias("g"), each(shards).alias("s")), rows.select("vec_id", "v", mine(2, shards).alias("s"), each(groups).alias("g"))
 
-
-def top_k(found: DataFrame, k: int, score: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score).alias("score"))
+def books_of(rows: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """The codebooks of each length of vectors, fitted one after the other on at most about `sample` rows and SAMPLE_BYTES."""
+    books = {}
+    for dim, n in sorted((r[0], r[1]) for r in rows.groupBy("dim").count().collect()):
+        some = min(sample, max(CENTRES, SAMPLE_BYTES // (8 * dim)))
+        drawn = hash_sample(rows.where(F.col("dim") == dim), some, n, "row").select("row", "v").toArrow().sort_by("row").column("v")
+        books[dim] = fit(padded(V.matrix(drawn)) if len(drawn) else np.zeros((1, dim + dim % 2)))
+    return books
 
 
 def search(vectors: DataFrame, chosen=None, k: int = 20, sample: int = SAMPLE, shard: int = SHARD, group: int = GROUP, depth: int = DEPTH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which the condition chosen holds."""
-    chosen = F.col("vec_id") % 20 == 0 if chosen is None else chosen
-    rows = materialize(usable(vectors), "ann-rows")
-    width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    dim = width[0] if width else 2
-    rows = rows.where(F.size("v") == dim)
-    sample = min(sample, max(CENTRES, SAMPLE_BYTES // (8 * dim)))
-    drawn = hash_sample(rows, sample, rows.count(), "vec_id").select("vec_id", "v").toArrow().sort_by("vec_id").column("v")
-    pad = lambda a: np.pad(a, ((0, 0), (0, a.shape[1] % 2)))
-    books = fit(pad(matrix(drawn)) if len(drawn) else np.zeros((1, dim + dim % 2)))
-    queries, candidates = dealt(rows, chosen, shard, group)
-
-    def run(key, q, x):
-        if not len(q) or not len(x):
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            at = found[0]
-        else:
-            ids = q.column("vec_id").to_numpy()
-            found = best(pad(matrix(q.column("v"))), ids, pad(matrix(x.column("v"))), x.column("vec_id").to_numpy(), books, k, depth)
-            at = ids[found[0]]
-        return pa.table({"query_id": pa.array(at, pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    found = queries.groupBy("g", "s").cogroup(candidates.groupBy("g", "s")).applyInArrow(run, "query_id long, vec_id long, score double")
-    return top_k(found, k, "double")
+    """query_id, rank, vec_id, score: the k nearest found of every row for which the condition chosen (on vec_id) holds."""
+    rows = V.rows(vectors)
+    books = books_of(rows, sample)
+    index = V.shards(rows, shard, lambda x, ids, own: shard_of(x, ids, own, books[x.shape[1]]))
+    asked = V.deal(rows.where(F.col("vec_id") % 20 == 0 if chosen is None else chosen), group)
+
+    def answer(q: dict, shards: list[dict]) -> tuple:
+        found = []
+        for s in shards:
+            i, row, vec_id, score = best(q["x"], q["rows"], s, books[q["x"].shape[1]], k, depth)
+            found.append((q["rows"][i], q["ids"][i], row, vec_id, score))
+        return V.best_of(found, k)
+
+    return V.top_k(V.scan(index, asked, answer, "double"), k)
