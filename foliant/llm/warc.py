@@ -1,9 +1,10 @@
 """WARC archives with revisit records and an external merge of their capture index.
 
 Every task writes one gzip-per-record WARC file of its own name and, for every RUN captures, a run: index lines sorted by
-URL key, timestamp and page_id. Ranges of that key are cut at quantiles of a bounded sample, and the manifest says where
-each range lies in each run. One task per range merges its slices of all runs with a loser tree, FAN at a time (more
-slices go through intermediate files), which gives the globally ordered capture histories. Records are read back by
+URL key, timestamp and page_id. Ranges of that key, of about PER_RANGE captures, are cut at quantiles of a sample of PER_CUT
+keys a range, and the manifest says where each range lies in each run. One task per range merges its slices of all runs with
+a loser tree, FAN at a time (more slices go through intermediate files), and hands on its lines in batches; this gives the
+globally ordered capture histories. Records are read back by
 their index entries, dealt by file and read in order of offset. Files that the written manifest does not name (of lost or
 repeated tasks) are never read.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, hash_sample, materialize, portions, scratch
 
-LEAST, RUN, FAN, SAMPLE, PER_RANGE, PER_TASK, CHUNK, LEVEL = 1000, 1 << 17, 128, 10000, 1 << 16, 1 << 14, 1 << 16, 1
+LEAST, RUN, FAN, PER_CUT, PER_RANGE, PER_TASK, CHUNK, LEVEL, LINES = 1000, 1 << 17, 128, 16, 1 << 18, 1 << 14, 1 << 16, 1, 1 << 13
 INDEX = "page_id long, url_key string, time string, file string, offset long, length long"
 
 
@@ -205,20 +207,27 @@ def write(rows: DataFrame, path: str, bounds: list[str]) -> DataFrame:
     return materialize(rows.mapInArrow(run, "range int, run string, offset long, length long"), "warc-manifest")
 
 
-def merge(manifest: DataFrame, folder: str) -> DataFrame:
+def merge(manifest: DataFrame, folder: str, ranges: int) -> DataFrame:
     """The index in order of URL key, time and page_id within and across ranges: range, place and the INDEX columns."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    names = ["range", "place", *(x.split()[0] for x in INDEX.split(", "))]
 
-    def run(key, slices):
-        found = []
-        for line in merged(list(zip(*(slices.column(c).to_pylist() for c in ("run", "offset", "length")))), folder):
-            url, time, _, entry = line.split(" ", 3)
-            page_id, file, offset, length = json.loads(entry)
-            found.append((key[0].as_py(), len(found), page_id, url, time, file, offset, length))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        names = ["range", "place", *(x.split()[0] for x in INDEX.split(", "))]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 8, kinds)], names=names)
-
-    return manifest.groupBy("range").applyInArrow(run, f"range int, place long, {INDEX}")
+    def run(batches):
+        slices = ((r, s) for b in batches for r, *s in zip(*(c.to_pylist() for c in b.columns)))
+        for r, own in itertools.groupby(slices, key=lambda x: x[0]):
+            lines = merged([tuple(s) for _, s in own], folder)
+            place = 0
+            while some := list(itertools.islice(lines, LINES)):
+                found = []
+                for line in some:
+                    url, time, _, entry = line.split(" ", 3)
+                    page_id, file, offset, length = json.loads(entry)
+                    found.append((r, place, page_id, url, time, file, offset, length))
+                    place += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+
+    dealt = manifest.select("range", "run", "offset", "length").repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, f"range int, place long, {INDEX}")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -251,11 +260,11 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     rows = captures(pages)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), url_key(F.col("url").cast("string")).alias("url_key"))
     total = narrow.count()
-    drawn = hash_sample(narrow, SAMPLE, total, "page_id", "url_key").select("page_id", "url_key", capture_time(F.col("page_id")).alias("time")).collect()
-    keys = sorted(line_key(r["url_key"], r["time"], r["page_id"]) for r in drawn)
     parts = max(pages.sparkSession.sparkContext.defaultParallelism, total // PER_RANGE)
+    drawn = hash_sample(narrow, PER_CUT * parts, total, "page_id", "url_key").select("page_id", "url_key", capture_time(F.col("page_id")).alias("time")).collect()
+    keys = sorted(line_key(r["url_key"], r["time"], r["page_id"]) for r in drawn)
     bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
-    return materialize(merge(write(rows, path, bounds), path), "warc-index")
+    return materialize(merge(write(rows, path, bounds), path, parts), "warc-index")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
