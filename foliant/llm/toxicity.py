@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other; each logistic model sees the text's features and the log-odds that the models
-before it gave. For training those log-odds are out-of-fold: a model fitted on the other FOLDS - 1 folds (by crc32 of the text)
-predicts each fold, so later models learn from what earlier ones say about unseen texts.
+Categories are predicted one after the other; each logistic model sees the text's features and the probabilities that the models
+before it gave. For training those probabilities are out-of-fold: a model fitted on the other FOLDS - 1 folds (by crc32 of the
+text) predicts each fold, so later models learn from what earlier ones say about unseen texts. The fits of a category, one for
+each fold and one for all, are tasks; each gets the sample's features, at most SAMPLE * TERMS term numbers, by broadcast.
 
 Features: lower-cased words and their prefixes of 4 to 6 letters, those TERMS whose shares differ most by category (by at least SURE standard errors), present or not, and
 six measures of form. Vocabulary and weights are fitted on about SAMPLE labelled documents at most (by hash of doc_id).
@@ -19,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_sample, materialize, portions
@@ -32,6 +33,10 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 def form(text: str, words: list[str]) -> list[float]:
     """Measures between 0 and 1 of a text's form."""
     n = max(1, len(text))
@@ -60,7 +65,7 @@ class Linear:
         size = len(self.w) + len(self.d) + 1
         m, v, x = np.zeros(size), np.zeros(size), np.zeros(size)
         for t in range(1, STEPS + 1):
-            r = (1 / (1 + np.exp(-self.logit(owner, term, dense))) - y) * weight
+            r = (sigmoid(self.logit(owner, term, dense)) - y) * weight
             g = np.concatenate([np.bincount(term, r[owner], len(self.w)), dense.T @ r, [r.sum()]]) + DECAY * x
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -88,15 +93,15 @@ class Chain:
                 found.update(own)
         return sorted(found), form(text, words)
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """[texts, categories]; each model sees the log-odds of those before it."""
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """[texts, categories]; each model sees the probabilities of those before it."""
         rows = [self.features(t) for t in texts]
         owner = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
         term = np.array([i for t, _ in rows for i in t], np.int64)
         dense = np.array([d for _, d in rows]).reshape(len(rows), 6)
         out = np.zeros((len(rows), 0))
         for model in self.models:
-            out = np.column_stack([out, model.logit(owner, term, np.column_stack([dense, out / 10]))])
+            out = np.column_stack([out, sigmoid(model.logit(owner, term, np.column_stack([dense, out])))])
         return out
 
 
@@ -155,29 +160,48 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
     n = len(data)
     y = np.stack(data.y.to_numpy()).astype(float) if n else np.zeros((0, c))
     dense = np.stack(data.d.to_numpy()) if n else np.zeros((0, 6))
-    owner = np.repeat(np.arange(n), data.t.map(len).to_numpy(int)) if n else np.zeros(0, int)
-    term = np.concatenate(data.t.to_numpy()).astype(int) if n else np.zeros(0, int)
-    fold, size = data.fold.to_numpy(), len(chain.place)
+    owner = np.repeat(np.arange(n, dtype=np.int32), data.t.map(len).to_numpy(int)) if n else np.zeros(0, np.int32)
+    term = np.concatenate(data.t.to_numpy()).astype(np.int32) if n else np.zeros(0, np.int32)
     for k in range(c):
-        unseen = np.zeros(n)
-        for f in range(FOLDS if k + 1 < c else 0):
-            rest, own = fold != f, fold == f
-            new = np.cumsum(rest) - 1
-            inside = rest[owner] if n else np.zeros(0, bool)
-            model = Linear(size, dense.shape[1]).fit(new[owner[inside]], term[inside], dense[rest], y[rest, k])
-            unseen[own] = model.logit(owner, term, dense)[own]
-        chain.models.append(Linear(size, dense.shape[1]).fit(owner, term, dense, y[:, k]))
-        dense = np.column_stack([dense, unseen / 10])
+        last = k + 1 == c
+        model, unseen = fitted(docs.sparkSession, owner, term, dense, y[:, k], data.fold.to_numpy(), len(chain.place), 0 if last else FOLDS)
+        chain.models.append(model)
+        dense = np.column_stack([dense, unseen])
     return chain
 
 
+def fitted(spark: SparkSession, owner: np.ndarray, term: np.ndarray, dense: np.ndarray, y: np.ndarray, fold: np.ndarray, terms: int, folds: int) -> tuple[Linear, np.ndarray]:
+    """The model of a category and each row's probability by the model of the other folds; every fit is a task of its own."""
+    sent = spark.sparkContext.broadcast((owner, term, dense, y, fold))
+
+    def run(batches):
+        owner, term, dense, y, fold = sent.value
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                rest = fold != f  # fold -1, of no row, is the fit on all of them
+                new, inside = np.cumsum(rest) - 1, rest[owner]
+                model = Linear(terms, dense.shape[1]).fit(new[owner[inside]], term[inside], dense[rest], y[rest])
+                unseen = sigmoid(model.logit(owner, term, dense))[~rest]
+                lists = [pa.array([np.asarray(x, float).tolist()], pa.list_(pa.float64())) for x in (model.w, model.d, [model.b], unseen)]
+                yield pa.RecordBatch.from_arrays([pa.array([f]), *lists], names=["fold", "w", "d", "b", "unseen"])
+
+    schema = "fold long, w array<double>, d array<double>, b array<double>, unseen array<double>"
+    found = {r.fold: r for r in spark.range(-1, folds, 1, folds + 1).mapInArrow(run, schema).collect()}
+    model, unseen = Linear(terms, dense.shape[1]), np.zeros(len(y))
+    model.w, model.d, model.b = np.array(found[-1].w), np.array(found[-1].d), found[-1].b[0]
+    for f in range(folds):
+        unseen[fold == f] = found[f].unseen
+    sent.destroy()
+    return model, unseen
+
+
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> of every row."""
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
         for b in portions(batches):
-            p = 1 / (1 + np.exp(-chain.logits([t or "" for t in b.column(1).to_pylist()])))
+            p = chain.probabilities([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
@@ -186,13 +210,12 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
 def keep(docs: DataFrame, chain: Chain, category: str, most: float = 0.5) -> DataFrame:
     """The documents whose probability of the category is below `most`, all columns kept."""
     k = chain.categories.index(category)
-    limit = float(np.log(most / (1 - most)))
 
     def run(batches):
         for b in portions(batches):
             texts = [t or "" for t in b.column("text").cast(pa.string()).to_pylist()]
             if texts:
-                yield b.filter(pa.array(chain.logits(texts)[:, k] < limit))
+                yield b.filter(pa.array(chain.probabilities(texts)[:, k] < most))
 
     return docs.mapInArrow(run, docs.schema)
 
