@@ -185,19 +185,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node but the roots; columns a, b of edges are the ends.
 
     Alternating large-star and small-star steps. Every step writes its edges to the shared folder, so lineage stays
-    short; joins are between written tables, so a hub is split by AQE or the small side is broadcast by its size."""
+    short, and deletes those before; joins are between written tables, so a hub is split by AQE or the small side is broadcast by its size."""
     edge = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = None
     while True:
         sums = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == mark or not sums[0]:
-            return edge.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = edge.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots.scratch_path = edge.scratch_path
+            return roots
         mark = sums
-        smallest = materialize(edge.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-min")
+        used = [edge, smallest := materialize(edge.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-min")]
         large = materialize(edge.join(smallest, edge.b == smallest.u, "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "cc-large")
         smallest = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-min")
+        used += [large, smallest]
         rest = large.join(smallest, large.a == smallest.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edge = materialize(smallest.select(F.col("u").alias("a"), F.col("m").alias("b")).union(rest).distinct(), "cc")
+        discard(*used)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,6 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-root")
     heads = materialize(labelled.groupBy(F.col("root").alias("top")).agg(F.min("rep").alias("component_id")), "simhash-head")
     known = materialize(labelled.join(heads, labelled.root == heads.top).select(F.col("fp").alias("print"), "component_id"), "simhash-known")
+    discard(distinct, roots, labelled, heads)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(known, prints.fp == known["print"]).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
 
