@@ -46,6 +46,23 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
+def spaces_or_controls() -> np.ndarray:
+    """By code point up to the last white space: 1 white space, 2 controls that no unit may hold, else 0."""
+    found = np.array([chr(c).isspace() for c in range(0x3002)], np.uint8)
+    found[[0, 0x1C, 0x1D, 0x1E, 0x1F]] = 2
+    return found
+
+
+def unsafe(text: str, table: np.ndarray) -> bool:
+    """Whether a text holds three white spaces in a row, two at its end, or a control of the table."""
+    c = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), len(table) - 1)
+    kind = table[c]
+    if kind.max() == 2:
+        return True
+    two = kind[1:] & kind[:-1]
+    return bool(len(two) and (two[-1] or (two[1:] & two[:-1]).any()))
+
+
 class Bpe:
     def __init__(self, path: str, leaf: int = LEAF, span: int = SPAN):
         import regex
@@ -66,8 +83,7 @@ class Bpe:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pieces = regex.compile(WORD_PATTERN if self.kind == "word" else BYTE_PATTERN).findall
         self.odd = regex.compile(r"[\x1c-\x1f]").search
-        self.unsafe = regex.compile(r"\s\s\s|\s\s\Z|[\x1c-\x1f\x00]").search
-        self.alphabet = byte_alphabet()
+        self.alphabet, self.table = byte_alphabet(), spaces_or_controls()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
@@ -185,7 +201,7 @@ class Bpe:
 
     def outside(self, text: str) -> bool:
         """Whether the rules for units do not hold for a text."""
-        return any(s in text for s in self.special) or bool((self.odd if self.kind == "word" else self.unsafe)(text))
+        return any(s in text for s in self.special) or (bool(self.odd(text)) if self.kind == "word" else unsafe(text, self.table))
 
     def encode(self, text: str | None, tree: bool = True) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers; tree: long texts by tree concatenation, else unit by unit."""

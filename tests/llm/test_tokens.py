@@ -44,6 +44,16 @@ def test_tree_concatenates_the_shared_documents(name):
     assert len(long) > 50 and own.joins > 200
 
 
+def test_unsafe_texts_are_found():
+    import re
+
+    r, table = random.Random(1), bpe.spaces_or_controls()
+    want = re.compile(r"\s\s\s|\s\s\Z|[\x1c-\x1f\x00]").search
+    for _ in range(20000):
+        t = "".join(r.choice("aé中 \n\t\u3000\u2003\x85\x1d😀bcdefgh") for _ in range(r.randint(1, 12)))
+        assert bpe.unsafe(t, table) == bool(want(t)), repr(t)
+
+
 def test_bpe_digests(spark):
     library = Tokenizer.from_file(vocabulary(NAMES[1]))
     rows = [(1, "Hello  wörld"), (2, None), (3, ""), (3, "Hello"), (None, "x" * 3000)]
