@@ -114,11 +114,12 @@ def is_mixed(text: Column) -> Column:
     return text.rlike("[0-9]") & text.rlike("(?i)[a-z]")
 
 
-def collapse_repeats(text: Column, rounds: int = 4) -> Column:
-    """Adjacent repeated phrases once; a bounded number of passes reaches the fixed point of 2**rounds repeats."""
-    for _ in range(rounds):
-        text = F.regexp_replace(text, r"(?i)(\b[\w#&.-]+(?:\s+[\w#&.-]+)*)\s+\1\b", "$1")
-    return text
+def collapse_repeats(text: Column) -> Column:
+    """Adjacent repeated phrases once, until nothing repeats. A pass leaves at most half of a repeated phrase's words, so a text
+    of n words is done after log2(n) + 1 passes."""
+    once = lambda s: F.regexp_replace(s, r"(?i)(\b[\w#&.-]+(?:\s+[\w#&.-]+)*)(?:\s+\1\b)+", "$1")
+    passes = F.ceil(F.log2(F.size(F.split(text, r"\s+")) + 1)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), passes), text, lambda s, _: once(s))
 
 
 def strip_alnum(text: Column) -> Column:

@@ -1,30 +1,26 @@
-"""Connected components of an edge table, by alternating star contraction; lineage is cut by checkpoint()."""
+"""Connected components of an edge table, by alternating star contraction; every step is written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliant-cc-"))
-    return df.checkpoint()
+from .scratch import dropped, written
 
 
 def components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
-    """node, component (the smallest node of the component) of every node; edges are undirected."""
-    edge = _checkpoint(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    """node, component (the smallest node of the component) of every node; edges are undirected.
+
+    It ends when a step leaves count and sum of 64-bit hashes of the edges as they were."""
+    edge = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
-    while (sums := edge.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()) != mark and sums[0]:
+    while (sums := edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != mark and sums[0]:
         mark = sums
         low = edge.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        large = _checkpoint(edge.join(low, edge.v == low.k, "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        large = written(edge.join(low, edge.v == low.k, "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         up = large.join(low, large.u == low.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edge = _checkpoint(low.select(F.col("k").alias("u"), F.col("m").alias("v")).union(up).distinct())
+        before, edge = edge, written(low.select(F.col("k").alias("u"), F.col("m").alias("v")).union(up).distinct(), "edges")
+        dropped(before, large)
     roots = edge.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
     return nodes.select(node).join(roots, F.col(node) == F.col("__u"), "left").select(node, F.coalesce("__v", node).alias("component"))

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from .dedupe import first_by
+from .search import within_edits
 
 #: Weights of the signals that rank candidates, and of those that keep nodes near a selection.
 SIGNALS = {"anchor_text": 0.20, "nearby_label": 0.17, "structural": 0.14, "containing_region": 0.10, "sibling_arrangement": 0.10, "local_geometry": 0.17, "graph_relationship": 0.12}
 RELEVANCE = {"overlap": 0.26, "distance": 0.20, "containment": 0.12, "shared_parent": 0.10, "topology": 0.14, "adjacency": 0.08, "alignment": 0.04, "provenance": 0.03, "text_confidence": 0.03}
 RETAINED = 0.22
+#: What an address or a telephone number looks like.
 POSTAL = r"(?i)\b[A-Z]\d[A-Z]\s?\d[A-Z]\d\b|\b\d{5}(-\d{4})?\b"
 STREET = r"(?i)\b(STREET|ST\.?|RD\.?|ROAD|AVE|AVENUE|BLVD|DR\.?|DRIVE|WAY|LANE|LN\.?|CRES|COURT|CT\.?|TRL|TRAIL)\b"
-PHONE = r"\(?\d{3}\)?[\s./-]?\d{3}[\s./-]?\d{4}\b"
+PHONE = r"\b\(?\d{3}\)?[\s./-]?\d{3}[\s./-]?\d{4}\b"
 
 
 def weighted(signals: dict[str, float]) -> Column:
@@ -107,18 +109,15 @@ def hamming_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.78, k
 
 
 def landmark_matches(landmarks: DataFrame, tokens: DataFrame, most: float = 0.3) -> DataFrame:
-    """Per landmark and document the exact token nearest to its position, else a fuzzy one.
+    """Per landmark and document the exact token nearest to its position, else the closest within the edit ratio.
 
-    landmarks: landmark_id, text, x, y; tokens: doc_id, text, x, y. Fuzzy pairs share the first or last two letters."""
+    landmarks: landmark_id, text, x, y; tokens: doc_id, text, x, y. Texts are compared once for each pair of distinct ones."""
     lm = landmarks.withColumn("norm", T.keyword_norm(F.col("text"))).select("landmark_id", "norm", F.col("x").alias("lx"), F.col("y").alias("ly"))
     tk = tokens.withColumn("t", T.keyword_norm(F.col("text")))
     away = F.sqrt(F.pow(F.col("x") - F.col("lx"), 2) + F.pow(F.col("y") - F.col("ly"), 2))
-    exact = tk.join(lm, F.col("t") == F.col("norm")).withColumn("distance", F.lit(0.0))
-    piece = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("p"), F.left(c, F.lit(2))), F.concat(F.lit("s"), F.right(c, F.lit(2))))))
-    near = tk.withColumn("k", piece(F.col("t"))).join(lm.withColumn("k", piece(F.col("norm"))), "k").drop("k").where("t <> norm").withColumn("distance", T.edit_ratio(F.col("t"), F.col("norm"))).where(F.col("distance") <= most)
-    fuzzy = near.join(exact.select("landmark_id", "doc_id").distinct(), ["landmark_id", "doc_id"], "left_anti")
-    both = exact.select("landmark_id", "doc_id", "text", "x", "y", "lx", "ly", "distance").unionByName(fuzzy.select("landmark_id", "doc_id", "text", "x", "y", "lx", "ly", "distance"))
-    return first_by(both.withColumn("away", away), ["landmark_id", "doc_id"], ["distance", "away", "x", "y"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
+    close = within_edits(tk.select(F.col("t").alias("a")), lm.select(F.col("norm").alias("b")), most)
+    found = tk.join(close, F.col("t") == F.col("a")).join(lm, F.col("b") == F.col("norm")).withColumn("away", away)
+    return first_by(found, ["landmark_id", "doc_id"], ["distance", "away", "x", "y"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
 
 
 def context(fields: DataFrame, landmarks: DataFrame, keys: list[str], radius: float = 0.4, k: int = 10) -> DataFrame:

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from .scratch import written
 
 ITEM = "struct<sku:string,description:string,quantity:string,unit_price:string,amount:string,line_no:string,row_number:int,missing:map<string,string>>"
-#: The exported header, and the field behind each invoice column.
+#: The exported header, the field behind each invoice column, and the words that only name a column.
 HEADER = ["Store / Business Name", "Department / Division", "Invoice #", "Invoice Date", "Salesperson", "Customer Name", "Customer Address", "Item Code (SKU)", "Item Description", "Quantity", "Unit Price", "Line Total", "Subtotal", "Discount", "Tax Amount", "Invoice Total", "Payment Method", "Payment Status", "Line No", "File ID"]
 TEXT_FIELDS = {"store": "store_name", "dept": "department_division", "number": "invoice_number", "date": "invoice_date", "salesperson": "salesperson_rep", "customer": "customer_name", "address": "customer_address", "payment_method": "payment_method", "payment_status": "payment_status"}
 NUMBER_FIELDS = {"subtotal": "subtotal_amount", "discount": "discounts_amount", "tax": "tax_amount", "total": "invoice_total"}
 HEADER_WORDS = ("item", "description", "qty", "quantity", "unit", "price", "amount", "total")
+#: Records whose lines a task numbers; their place among the batch's records is doc_seq.
+STRETCH = 1 << 14
 DYNAMIC, CORE = ("sku", "description", "quantity", "unit_price", "amount"), ("sku", "description", "quantity")
 
 
@@ -35,11 +38,11 @@ def invoice_cells(records: DataFrame) -> DataFrame:
     return records.withColumns(text | {k: N.clean_numeric(field(f)) for k, f in NUMBER_FIELDS.items()})
 
 
-def items(records: DataFrame) -> DataFrame:
-    """doc_seq, file_id, idx and the cleaned cells of every line item."""
-    rows = records.select("doc_seq", "file_id", F.posexplode("line_items").alias("idx", "item"))
+def items(records: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_seq, file_id, idx and the cleaned cells of every line item; also: columns of the record to carry along."""
+    rows = records.select("doc_seq", "file_id", *also, F.posexplode("line_items").alias("idx", "item"))
     clean = {"sku": T.collapse, "description": T.collapse, "quantity": N.clean_numeric, "unit_price": N.clean_numeric, "amount": N.clean_numeric, "line_no": T.collapse}
-    return rows.select("doc_seq", "file_id", "idx", *(f(F.col("item")[c]).alias(c) for c, f in clean.items()), F.col("item.row_number").alias("row_number"), F.col("item.missing").alias("missing"))
+    return rows.select("doc_seq", "file_id", *also, "idx", *(f(F.col("item")[c]).alias(c) for c, f in clean.items()), F.col("item.row_number").alias("row_number"), F.col("item.missing").alias("missing"))
 
 
 def numeric_filled() -> Column:
@@ -64,29 +67,32 @@ def mark_zero_rows(rows: DataFrame) -> DataFrame:
     return marked.withColumns({"quantity": fill("quantity", "1.00"), "unit_price": fill("unit_price", "0.00"), "amount": fill("amount", "0.00")}).drop("__n", "__r")
 
 
-def majority(rows: DataFrame) -> DataFrame:
-    """doc_seq, original_rows, majority (rows to keep) and the non-blank counts of each document.
-
-    The commonest positive count of the core columns, the smaller of equally common ones; of all columns if no core one is filled."""
-    counts = rows.groupBy("doc_seq").agg(F.count("*").alias("original_rows"), *(F.count_if(F.col(c) != "").alias(f"n_{c}") for c in DYNAMIC))
+def _most(rows: Column) -> Column:
+    """The commonest positive count of the core columns (n_<column>), the smaller of equally common ones; of all columns if no core one is filled."""
 
     def commonest(columns: tuple[str, ...]) -> Column:
         values = F.filter(F.array(*(F.col(f"n_{c}") for c in columns)), lambda v: v > 0)
         often = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda u: u == v))).alias("f"), v.alias("v")))
         return F.array_min(often)["v"]
 
-    most = F.least(F.coalesce(commonest(CORE), commonest(DYNAMIC), F.col("original_rows")), F.col("original_rows"))
-    return counts.withColumn("majority", most)
+    return F.least(F.coalesce(commonest(CORE), commonest(DYNAMIC), rows), rows)
+
+
+def majority(rows: DataFrame) -> DataFrame:
+    """doc_seq, original_rows, majority (rows to keep) and the non-blank counts of each document."""
+    counts = rows.groupBy("doc_seq").agg(F.count("*").alias("original_rows"), *(F.count_if(F.col(c) != "").alias(f"n_{c}") for c in DYNAMIC))
+    return counts.withColumn("majority", _most(F.col("original_rows")))
 
 
 def select_majority(rows: DataFrame) -> DataFrame:
-    """The densest rows of each document up to its majority count; rows without any cell only fill up, in row order."""
+    """The densest rows of each document up to its majority count; rows without any cell only fill up, in row order. kept: the place among them."""
     filled = reduce(lambda a, b: a + b, (F.when(F.col(c) != "", 1).otherwise(0) for c in DYNAMIC))
     place = F.coalesce("row_number", F.col("idx") + 1)
-    known = rows.join(majority(rows).select("doc_seq", "majority"), "doc_seq")
-    w = Window.partitionBy("doc_seq").orderBy(F.desc("__f"), "__r", "idx")
-    ranked = known.withColumn("__f", filled).withColumn("__r", place).withColumn("__k", F.row_number().over(w))
-    return ranked.where(F.col("__k") <= F.col("majority")).drop("__f", "__r", "__k", "majority")
+    own = Window.partitionBy("doc_seq")
+    counted = rows.withColumns({f"n_{c}": F.count_if(F.col(c) != "").over(own) for c in DYNAMIC} | {"__rows": F.count("*").over(own)})
+    ranked = counted.withColumn("__f", filled).withColumn("__r", place).withColumn("__k", F.row_number().over(own.orderBy(F.desc("__f"), "__r", "idx")))
+    chosen = ranked.where(F.col("__k") <= _most(F.col("__rows"))).drop("__f", "__r", "__k", "__rows", *(f"n_{c}" for c in DYNAMIC))
+    return chosen.withColumn("kept", F.row_number().over(own.orderBy("idx")))
 
 
 def infer_lines(rows: DataFrame) -> DataFrame:
@@ -94,44 +100,49 @@ def infer_lines(rows: DataFrame) -> DataFrame:
     return rows.select("*", q.alias("__q"), a.alias("__a"), assumed.alias("assumed_quantity")).withColumns({"quantity": F.col("__q"), "amount": F.col("__a")}).drop("__q", "__a")
 
 
-def number_lines(rows: DataFrame) -> DataFrame:
-    """Running numbers for usable rows across the whole batch, unless any row of it has a numeric line number."""
-    real = F.col("line_no").rlike(r"^\s*[-+]?(\d|\.\d)")
-    per = rows.groupBy("doc_seq").agg(F.count_if(usable() & (F.col("line_no") == "")).alias("n"), F.max(real).alias("real"))
-    w = Window.orderBy("doc_seq")
-    per = per.select("doc_seq", (F.sum("n").over(w) - F.col("n")).alias("__base"), F.max("real").over(Window.partitionBy()).alias("__real"))
-    inside = F.sum(F.when(usable() & (F.col("line_no") == ""), 1).otherwise(0)).over(Window.partitionBy("doc_seq").orderBy("idx"))
-    known = rows.withColumn("__i", inside).join(per, "doc_seq")
-    given = ~F.col("__real") & usable() & (F.col("line_no") == "")
-    return known.withColumn("virtual_line_no", given).withColumn("line_no", F.when(given, (F.col("__base") + F.col("__i")).cast("string")).otherwise(F.col("line_no"))).drop("__i", "__base", "__real")
+def number_lines(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Running numbers for usable rows across the whole batch, unless any row of it has a numeric line number.
 
-
-def single_item_fallback(rows: DataFrame, records: DataFrame) -> DataFrame:
+    Numbers count on from those of the stretches of doc_seq before, whose sums are a small table."""
+    real = F.col("line_no").rlike(r"^\s*[-+]?(\d|\.\d)")
+    open_ = usable() & (F.col("line_no") == "")
+    rows = rows.withColumn("__s", F.floor(F.col("doc_seq") / stretch))
+    per = rows.groupBy("__s").agg(F.count_if(open_).alias("n"), F.max(real).alias("real"))
+    per = per.select("__s", (F.sum("n").over(Window.orderBy("__s")) - F.col("n")).alias("__base"), F.max("real").over(Window.partitionBy()).alias("__real"))
+    inside = F.sum(F.when(open_, 1).otherwise(0)).over(Window.partitionBy("__s").orderBy("doc_seq", "idx"))
+    known = rows.withColumn("__i", inside).join(per, "__s")
+    given = ~F.col("__real") & open_
+    number = F.when(given, (F.col("__base") + F.col("__i")).cast("string")).otherwise(F.col("line_no"))
+    return known.withColumn("virtual_line_no", given).withColumn("line_no", number).drop("__i", "__base", "__real", "__s")
+
+
+def single_item_fallback(rows: DataFrame, records: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """If the batch has no usable row, one row for the first record with a subtotal or total."""
     r = invoice_cells(records)
     total = lambda k: F.coalesce(F.nullif(F.col(k), F.lit("")), F.nullif(N.clean_numeric(F.try_element_at(F.col("totals"), F.lit(k))), F.lit("")))
     first = r.withColumn("__amount", F.coalesce(total("subtotal"), total("total"))).where(F.col("__amount").isNotNull()).orderBy("doc_seq").limit(1)
     none = rows.agg(F.coalesce(F.max(usable()), F.lit(False)).alias("__some"))
     own = first.crossJoin(none).where(~F.col("__some"))  # one row by one row
-    row = own.select("doc_seq", "file_id", F.lit(0).alias("idx"), F.lit("").alias("sku"), F.lit("Primary Item (single-item contract)").alias("description"), F.lit("1.00").alias("quantity"), F.col("__amount").alias("unit_price"), F.col("__amount").alias("amount"), F.lit("1").alias("line_no"), F.lit(1).alias("row_number"))
+    amount, one = F.col("__amount"), F.lit("1.00")
+    cells = {"sku": F.lit(""), "description": F.lit("Primary Item (single-item contract)"), "quantity": one, "unit_price": amount, "amount": amount, "line_no": F.lit("1"), "row_number": F.lit(1), "kept": F.lit(1)}
+    row = own.select("doc_seq", "file_id", *also, F.lit(0).alias("idx"), *(v.alias(k) for k, v in cells.items()))
     return rows.unionByName(row, allowMissingColumns=True)
 
 
-def selected_items(records: DataFrame) -> DataFrame:
-    """All item steps up to numbering."""
-    return number_lines(infer_lines(select_majority(mark_zero_rows(items(records)))))
+def selected_items(records: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """All item steps up to numbering. The selected rows are written before, as their numbers need the sums of all of them."""
+    return number_lines(written(infer_lines(select_majority(mark_zero_rows(items(records, also)))), "items"))
 
 
 def flatten(records: DataFrame, fallback: bool = True) -> DataFrame:
     """The exported table: one row per selected item with the columns of HEADER, then doc_seq and idx for order."""
-    rows = selected_items(records)
+    heads = (*TEXT_FIELDS, *NUMBER_FIELDS)
+    rows = selected_items(invoice_cells(records), heads)
     if fallback:
-        rows = single_item_fallback(rows, records)
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_seq").orderBy("idx")))
+        rows = single_item_fallback(rows, records, heads)
     product = F.nullif(F.col("quantity"), F.lit("")).cast("double") * F.nullif(F.col("unit_price"), F.lit("")).cast("double")
-    cells = {"line_total": F.when(F.col("amount") == "", F.coalesce(N.fixed2(product), F.lit(""))).otherwise(F.col("amount")), "line_no": F.coalesce(F.nullif(F.col("line_no"), F.lit("")), F.coalesce(F.nullif(F.col("row_number"), F.lit(0)), F.col("__k")).cast("string"))}
-    heads = invoice_cells(records).select("doc_seq", *TEXT_FIELDS, *NUMBER_FIELDS)
-    out = rows.withColumns(cells).join(heads, "doc_seq")
+    number = F.coalesce(F.nullif(F.col("line_no"), F.lit("")), F.coalesce(F.nullif(F.col("row_number"), F.lit(0)), F.col("kept")).cast("string"))
+    out = rows.withColumns({"line_total": F.when(F.col("amount") == "", F.coalesce(N.fixed2(product), F.lit(""))).otherwise(F.col("amount")), "line_no": number})
     order = ["store", "dept", "number", "date", "salesperson", "customer", "address", "sku", "description", "quantity", "unit_price", "line_total", "subtotal", "discount", "tax", "total", "payment_method", "payment_status", "line_no", "file_id"]
     return out.select(*(F.col(c).alias(h) for c, h in zip(order, HEADER)), "doc_seq", "idx")
 

@@ -309,11 +309,16 @@ def candidate_penalties(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.form_penalty(F.col("text")).alias("penalty"))
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT c_name AS term, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM customer
+  UNION SELECT DISTINCT p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) FROM part),
+q AS (SELECT DISTINCT 'x' || p_name || 's' AS query_id, trim(regexp_replace(lower('x' || p_name || 's'), '[^a-z0-9]+', ' ', 'g')) AS q FROM part),
+d AS (SELECT query_id, term, levenshtein(q, t) / greatest(length(q), length(t))::DOUBLE AS distance FROM q CROSS JOIN c)
+SELECT query_id, term, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, term) AS n FROM d WHERE distance <= 0.3) WHERE n = 1""")
 def nearest_names(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_name").distinct()
-    q = p.select(F.concat(F.col("p_name"), F.lit("s")).alias("query")).withColumn("query_id", F.col("query"))
-    return search.nearest_text(q, p.withColumnRenamed("p_name", "term"))
+    terms = p.union(table(spark, sf_dir, "customer").select("c_name")).withColumnRenamed("p_name", "term")
+    q = p.select(F.concat(F.lit("x"), F.col("p_name"), F.lit("s")).alias("query")).withColumn("query_id", F.col("query"))
+    return search.nearest_text(q, terms).select("query_id", "term", F.round("distance", 9).alias("distance"))
 
 
 @query("""WITH s AS (SELECT c_custkey, c_acctbal, c_nationkey, exp(-abs(c_acctbal - 1000) / 500.0) / 2 + exp(-abs(c_nationkey - 7) / 5.0) / 2 AS similarity FROM customer) SELECT c_custkey AS id, round(similarity, 9) AS similarity FROM s ORDER BY similarity DESC, c_custkey LIMIT 10""")

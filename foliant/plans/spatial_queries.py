@@ -37,25 +37,25 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 
 def shifted(b: DataFrame) -> DataFrame:
-    return b.where("id % 3 <> 0").withColumn("x", F.col("x") + 0.006)
+    return b.withColumn("x", F.col("x") + F.when(F.col("id") % 3 == 0, 0.3).otherwise(0.006))
 
 
-@query(BOXES + f""", t AS (SELECT page, id, x + 0.006 AS x, y, w, h FROM r WHERE id % 3 <> 0),
-p AS (SELECT a.page, a.id, b.id AS auto_id, {OVER} / (a.w * a.h + b.w * b.h - {OVER}) AS iou FROM r a JOIN t b ON a.page = b.page AND a.id % 2 = 0),
+@query(BOXES + f""", t AS (SELECT page, id, x + CASE WHEN id % 3 = 0 THEN 0.3 ELSE 0.006 END AS x, y, w, h FROM r),
+p AS (SELECT a.page, a.id, b.id AS auto_id, {OVER} / (a.w * a.h + b.w * b.h - {OVER}) AS iou FROM r a JOIN t b ON a.page = b.page),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY iou DESC, auto_id) AS n FROM p WHERE iou >= 0.3) WHERE n = 1)
-SELECT r.page, r.id, auto_id, round(iou, 9) AS iou FROM r LEFT JOIN m USING (page, id) WHERE r.id % 2 = 0""")
+SELECT r.page, r.id, auto_id, round(iou, 9) AS iou FROM r LEFT JOIN m USING (page, id)""")
 def annotation_match(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return spatial.iou_best(b.where("id % 2 = 0"), shifted(b), KEY, size=0.1).select("page", "id", "auto_id", F.round("iou", 9).alias("iou"))
+    return spatial.iou_best(b, shifted(b), KEY, size=0.1).select("page", "id", "auto_id", F.round("iou", 9).alias("iou"))
 
 
-@query(BOXES + f""", t AS (SELECT page, id, x + 0.006 AS x, y, w, h FROM r WHERE id % 3 <> 0),
-p AS (SELECT a.page, a.id, b.id AS auto_id, {OVER} / (a.w * a.h + b.w * b.h - {OVER}) AS iou FROM r a JOIN t b ON a.page = b.page AND a.id % 2 = 0),
+@query(BOXES + f""", t AS (SELECT page, id, x + CASE WHEN id % 3 = 0 THEN 0.3 ELSE 0.006 END AS x, y, w, h FROM r),
+p AS (SELECT a.page, a.id, b.id AS auto_id, {OVER} / (a.w * a.h + b.w * b.h - {OVER}) AS iou FROM r a JOIN t b ON a.page = b.page),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY iou DESC, auto_id) AS n FROM p WHERE iou >= 0.3) WHERE n = 1)
 SELECT t.page, t.id FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page = t.page AND m.auto_id = t.id)""")
 def annotation_extras(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return spatial.extras(shifted(b), spatial.iou_best(b.where("id % 2 = 0"), shifted(b), KEY, size=0.1), KEY)
+    return spatial.extras(shifted(b), spatial.iou_best(b, shifted(b), KEY, size=0.1), KEY)
 
 
 DIST = "sqrt((a.x + a.w / 2 - b.x - b.w / 2) * (a.x + a.w / 2 - b.x - b.w / 2) + (a.y + a.h / 2 - b.y - b.h / 2) * (a.y + a.h / 2 - b.y - b.h / 2))"
@@ -83,25 +83,25 @@ def containment_depth(spark, sf_dir):
     return spatial.parents(boxes(spark, sf_dir), KEY, 0.1)
 
 
-@query(BOXES + f""", p AS (SELECT a.page, a.id AS box_id, b.id AS token_id, {DIST} AS d FROM r a JOIN r b ON a.page = b.page AND a.id % 10 = 0 AND {DIST} <= 0.2),
+@query(BOXES + f""", p AS (SELECT a.page, a.id AS box_id, b.id AS token_id, {DIST} AS d FROM r a JOIN r b ON a.page = b.page AND {DIST} <= 0.2),
 k AS (SELECT *, row_number() OVER (PARTITION BY page, box_id ORDER BY d, token_id) AS rank FROM p) SELECT page, box_id, token_id, rank::INT AS rank, round(d, 9) AS distance FROM k WHERE rank <= 5""")
 def nearest_k_capture(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    c = spatial.capture(b, b.where("id % 10 = 0"), KEY, 0.2)
+    c = spatial.capture(b, b, KEY, 0.2)
     return c.select(F.col("a_page").alias("page"), F.col("a_id").alias("box_id"), F.col("b_id").alias("token_id"), "rank", F.round("distance", 9).alias("distance"))
 
 
-@query(BOXES + """SELECT a.page, b.id AS box_id, count(*) AS hits FROM r a JOIN r b ON a.page = b.page AND b.id % 5 = 0 AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h GROUP BY 1, 2""")
+@query(BOXES + """SELECT a.page, b.id AS box_id, count(*) AS hits FROM r a JOIN r b ON a.page = b.page AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h GROUP BY 1, 2""")
 def tokens_in_boxes(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    hits = spatial.tokens_in_boxes(b, b.where("id % 5 = 0"), KEY, "center", size=0.1)
+    hits = spatial.tokens_in_boxes(b, b, KEY, "center", size=0.1)
     return hits.groupBy(F.col("a_page").alias("page"), F.col("b_id").alias("box_id")).agg(F.count("*").alias("hits"))
 
 
-@query(BOXES + f"""SELECT a.page, b.id AS box_id, count(*) AS hits FROM r a JOIN r b ON a.page = b.page AND b.id % 5 = 0 AND {OVER} > 0 AND {OVER} >= 0.25 * a.w * a.h GROUP BY 1, 2""")
+@query(BOXES + f"""SELECT a.page, b.id AS box_id, count(*) AS hits FROM r a JOIN r b ON a.page = b.page AND {OVER} > 0 AND {OVER} >= 0.25 * a.w * a.h GROUP BY 1, 2""")
 def tokens_by_area(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    hits = spatial.tokens_in_boxes(b, b.where("id % 5 = 0"), KEY, "area", 0.25, size=0.1)
+    hits = spatial.tokens_in_boxes(b, b, KEY, "area", 0.25, size=0.1)
     return hits.groupBy(F.col("a_page").alias("page"), F.col("b_id").alias("box_id")).agg(F.count("*").alias("hits"))
 
 
@@ -129,10 +129,10 @@ def value_clusters(spark, sf_dir):
     return spatial.clusters(boxes(spark, sf_dir), KEY, "x", 0.01).select("page", "id", "cluster", F.round("center", 9).alias("center"))
 
 
-@query(BOXES + """, g AS (SELECT page, y, max(y + h) OVER (PARTITION BY page ORDER BY y, y + h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r WHERE id % 8 = 0)
+@query(BOXES + """, g AS (SELECT page, y, max(y + h / 16) OVER (PARTITION BY page ORDER BY y, y + h / 16 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r)
 SELECT page, round(e, 9) AS gap_start, round(y, 9) AS gap_end FROM g WHERE y - e >= 0.01""")
 def whitespace_gaps(spark, sf_dir):
-    b = boxes(spark, sf_dir).where("id % 8 = 0").withColumn("end", F.col("y") + F.col("h"))
+    b = boxes(spark, sf_dir).withColumn("end", F.col("y") + F.col("h") / 16)
     return spatial.gaps(b, KEY, "y", "end", 0.01).select("page", F.round("gap_start", 9).alias("gap_start"), F.round("gap_end", 9).alias("gap_end"))
 
 
@@ -200,7 +200,7 @@ def box_relations(spark, sf_dir):
 def token_ingest(spark, sf_dir):
     k = F.col("o_custkey")
     raw = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(k.alias("id"), (k * 7 % 13).cast("int").alias("page"), F.concat(F.lit(" w"), (k % 3).cast("string"), F.lit("\n")).alias("text"), *(F.lit(1).alias(c) for c in "xywh"), F.lit(None).cast("double").alias("confidence"))
-    blank = raw.limit(5).withColumn("text", F.lit("  "))
+    blank = raw.withColumn("text", F.lit("  "))
     return readers.tokens(raw.unionByName(blank)).select("id", "page", "text", "confidence", "char_count")
 
 
@@ -219,7 +219,7 @@ def non_maximum_suppression(spark, sf_dir):
 @query()
 def greedy_assignment(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    p = spatial.near_pairs(b.where("id % 2 = 0"), b.where("id % 2 = 1"), KEY, 0.1).where(spatial.overlap() > 0)
+    p = spatial.near_pairs(b, b.where("id % 2 = 1"), KEY, 0.1).where(spatial.overlap() > 0)
     p = p.select(F.col("a_page").alias("page"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), spatial.overlap().alias("score"))
     return folds.assign_greedy(p, KEY, "a", "b", "score")
 

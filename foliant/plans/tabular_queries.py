@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, text
-from ..operators import dedupe, series, tabular
+from ..operators import dedupe, scratch, series, tabular
 from ..sources import readers, writers
 
 QUERIES: dict = {}
@@ -284,15 +286,20 @@ def key_value_scan(spark, sf_dir):
     return both.select(F.col("value").alias("c_custkey"), "user", "doc_type", "wizard_id", "geometry_id")
 
 
-@query("""SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k, CASE WHEN event_id % 10 = 0 THEN 'bad' END AS error FROM events""")
+@query("""SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) END AS k,
+  CASE WHEN event_id % 10 = 0 THEN '{"event_id": ' || event_id END AS error, event_id AS line_no FROM (SELECT row_number() OVER (ORDER BY event_id) AS event_id, props FROM events)""")
 def json_with_errors(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    parsed = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
-    broken = F.try_parse_json(F.concat(F.when(F.col("event_id") % 10 == 0, "{").otherwise(""), "props"))
-    return e.select("event_id", parsed.alias("k"), F.when(broken.isNull(), "bad").alias("error"))
+    n = F.row_number().over(Window.orderBy("event_id"))  # the table's lines in one file, as their numbers are to be compared
+    e = table(spark, sf_dir, "events").select(n.alias("event_id"), "props")
+    broken = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
+    line = F.when(F.col("event_id") % 10 == 0, broken).otherwise(F.concat(broken, F.lit(', "props": '), F.col("props"), F.lit("}")))
+    path = f"{scratch.shared_dir(spark)}/foliant/lines-{uuid.uuid4().hex}"
+    e.select(line.alias("value")).coalesce(1).write.text(path)
+    found = readers.json_lines(spark, path, "event_id long, props struct<k:int>")
+    return found.select("event_id", "props.k", "error", "line_no")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM (SELECT doc_id, left(text, 100000) AS text FROM documents)""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents""")
 def keyword_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.keyword_norm(F.col("text")).alias("norm"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,10 +22,15 @@ def csv_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parsed columns, line_no within its file, and error for lines that are no JSON object; blank lines are dropped."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """Parsed columns, file, line_no within it (from 1, blank lines counted), and error for lines that are no JSON object; blank
+    lines are dropped. A line's number is its place in its split of the file, after the lines of the splits before."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    splits = splits.select("file", "split", (before - F.col("first") + 1).alias("base"))
     parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select("line_no", parsed.alias("r"), F.col("value")).select("line_no", "r.*").withColumnRenamed("_bad", "error")
+    rows = lines.where(F.trim("value") != "").join(splits, ["file", "split"])
+    return rows.select("file", (F.col("at") + F.col("base")).alias("line_no"), parsed.alias("r")).select("file", "line_no", "r.*").withColumnRenamed("_bad", "error")
 
 
 def safe_json(column: str) -> Column:

@@ -59,7 +59,19 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first_by(rows, keys, [F.desc(order)])
 
 
+def report_lines(df: DataFrame, template: str, columns: list[str]) -> DataFrame:
+    """line: a formatted text of every row."""
+    return df.select(F.format_string(template, *(F.col(c) for c in columns)).alias("line"))
+
+
+def write_report(df: DataFrame, path: str, template: str, columns: list[str]) -> None:
+    """A text report of any size: every row of df as a line, in the order of df's partitions."""
+    report_lines(df, template, columns).write.mode("overwrite").text(path)
+
+
 def report(df: DataFrame, title: str, template: str, columns: list[str], most: int = 1000) -> str:
-    """A text report of a small result: a title line, then one formatted line per row, at most `most`."""
-    lines = df.select(F.format_string(template, *(F.col(c) for c in columns)).alias("line")).limit(most).collect()
+    """A text report of a small result: a title line, then one formatted line per row. More than `most` rows are an error; use write_report."""
+    lines = report_lines(df, template, columns).limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"a report of over {most} lines belongs into a file")
     return "\n".join([title, *(r["line"] for r in lines)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.components import _checkpoint
+from ..operators.scratch import written
 from ..operators.dedupe import first_by
 
 #: Recency blocks of the cache table.
@@ -80,7 +80,7 @@ def lru_within(entries: DataFrame, budget: int) -> DataFrame:
     from pyspark.sql import Window
 
     dealt = entries.repartitionByRange(BLOCKS, F.desc("accessed_at"), F.col("path")).withColumn("__block", F.spark_partition_id())
-    dealt = _checkpoint(dealt)  # the blocks' borders are sampled, so they are drawn once
+    dealt = written(dealt, "recency")  # the blocks' borders are sampled, so they are drawn once
     sums = dealt.groupBy("__block").agg(F.sum("size").alias("__sum"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("__block").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")).where(F.col("__before") <= budget)

@@ -39,6 +39,7 @@ def test_types_and_repeats(spark):
     fixed = lambda kind: lambda c: T.type_fixed(c, F.lit(kind))
     assert one(spark, fixed("text_only"), "0LGA") == "OLGA" and one(spark, fixed("numeric_only"), "O") == "0" and one(spark, fixed("any"), "O0") == "O0"
     assert one(spark, T.collapse_repeats, "net net total total total") == "net total"
+    assert one(spark, T.collapse_repeats, "a A b a a b " * 40 + "end") == "a b end" and one(spark, T.collapse_repeats, "") == ""
     assert one(spark, T.match_norm, "Crème  BRÛLÉE!") == "creme brulee"
     assert one(spark, T.collapse, " a \n b ") == "a b"
     assert one(spark, lambda c: T.rehydrate(c, F.lit("XY")), "a-b c") == "X-Y c"

@@ -19,7 +19,17 @@ def test_csv_round_trip(spark, tmp_path):
 def test_json_lines_keep_errors(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n{bad\n{"a": 3}\n')
     got = readers.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").orderBy("line_no").collect()
-    assert [(r.a, r.error) for r in got] == [(1, None), (None, "{bad"), (3, None)]
+    assert [(r.line_no, r.a, r.error) for r in got] == [(1, 1, None), (3, None, "{bad"), (4, 3, None)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, n in (("a", 900), ("b", 7)):
+        (folder / name).write_text("".join(f'{{"a": {i}}}\n' for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.json_lines(spark, str(folder), "a int").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 907 and all(r.a == r.line_no for r in got)
 
 
 def test_chunks(spark):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import matching, pixels, runs
+from foliant.operators import matching, pixels, runs, search
 
 
 def test_components_and_distance():
@@ -69,3 +69,39 @@ def test_sessions(spark):
     added = spark.createDataFrame([("s", "d1", "a", 1), ("s", "d2", "b", 2), ("s", "d1", "c", 4)], "session_id string, document_id string, summary string, seq int")
     removed = spark.createDataFrame([("s", "d1", 3), ("s", "d2", 5)], "session_id string, document_id string, seq int")
     assert [(r.document_id, r.summary) for r in runs.session_documents(added, removed).collect()] == [("d1", "c")]
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    """Pairs within the edit ratio, edits at both ends included."""
+    import random
+
+    r = random.Random(3)
+    base = ["abcdefghij", "invoice", "total", "ninewordsab", "ab", "a", "wxyz"]
+    edited = lambda t: "".join(r.choice("abcxyz") if r.random() < 0.2 else c for c in t if r.random() > 0.1) + r.choice(["", "x"])
+    left = ["xbcdefghix", "xinewordsax", *(edited(r.choice(base)) for _ in range(200)), "", *base]
+    right = [*base, *(edited(r.choice(base)) for _ in range(60))]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, before = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, before[j + 1] + 1, before[j] + (x != y)))
+        return row[-1]
+
+    for most in (0.0, 0.3, 0.45):
+        got = search.within_edits(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), most)
+        want = {(a, b) for a in set(left) for b in set(right) if a and b and distance(a, b) <= most * max(len(a), len(b)) + 1e-12}
+        assert {(x.a, x.b) for x in got.collect()} == want and len(want) > 5
+    assert {("xbcdefghix", "abcdefghij"), ("xinewordsax", "ninewordsab")} <= {(a, b) for a in left for b in right if a and b and distance(a, b) <= 0.3 * max(len(a), len(b))}
+
+
+def test_phrases_of_any_length(spark):
+    words = [f"w{i}ord" for i in range(14)]
+    t = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate(words)] + [(1, 1, 0, "ab"), (1, 1, 1, "xabcx")], "doc_id int, line int, place int, text string")
+    q = spark.createDataFrame([("nine", " ".join(words[2:11])), ("all", " ".join(words)), ("more", " ".join(words) + " x"), ("two", "ab c"), ("none", "--")], "query_id string, query string")
+    got = {(r.query_id, r.line, r.place, r.n_tokens) for r in search.phrase_candidates(t, q, ["doc_id"]).collect()}
+    squash = lambda s: s.replace(" ", "")
+    singles = {(q, 0, i, 1) for q, p in (("nine", words[2:11]), ("all", words), ("more", [*words, "x"])) for i, w in enumerate(words) if w in squash(" ".join(p))}
+    assert got == {("nine", 0, 2, 9), ("all", 0, 0, 14), ("two", 1, 0, 1), ("two", 1, 0, 2), ("two", 1, 1, 1)} | singles
+    assert "NestedLoop" not in search.phrase_candidates(t, q, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
