@@ -170,4 +170,4 @@ def search(vectors: DataFrame, chosen=None, k: int = 20, sample: int = SAMPLE, s
             found.append((q["rows"][i], q["ids"][i], row, vec_id, score))
         return V.best_of(found, k)
 
-    return V.top_k(V.scan(index, asked, answer, "double"), k)
+    return V.top_k(V.scan(index, asked, answer, k, "double"), k)

@@ -102,7 +102,7 @@ def nearest(q: np.ndarray, own: int, trees: list[dict], bounds: list[np.ndarray]
     return sorted(top, reverse=True)
 
 
-def answers(q: dict, trees: list[dict], k: int) -> tuple[list, list, list, list, list]:
+def answers(q: dict, trees: list[dict], k: int) -> tuple[np.ndarray, ...]:
     """Columns query_row, query_id, row, vec_id, score."""
     asked, *parts = scaled(q["x"], *(t[name] for t in trees for name in ("x", "low", "high")))
     trees = [t | {"v": v} for t, v in zip(trees, parts[::3])]
@@ -111,9 +111,9 @@ def answers(q: dict, trees: list[dict], k: int) -> tuple[list, list, list, list,
     found: tuple[list, list, list, list, list] = ([], [], [], [], [])
     for i, (own, query) in enumerate(zip(q["rows"].tolist(), q["ids"].tolist())):
         for score, vec_id, row in nearest(asked[i], own, trees, [b[i] for b in bounds], k):
-            for column, value in zip(found, (own, query, -row, -vec_id, max(-(2**63), min(2**63 - 1, int(score))))):
+            for column, value in zip(found, (own, query, -row, -vec_id, max(1 - 2**63, min(2**63 - 1, int(score))))):
                 column.append(value)
-    return found
+    return tuple(np.array(c, np.int64) for c in found)
 
 
 def search(vectors: DataFrame, chosen=None, k: int = 5, shard: int = SHARD, group: int = GROUP) -> DataFrame:
@@ -121,4 +121,4 @@ def search(vectors: DataFrame, chosen=None, k: int = 5, shard: int = SHARD, grou
     rows = V.rows(vectors, zero=True)
     index = V.shards(rows, shard, grown)
     asked = V.deal(rows.where(F.col("vec_id") % 50 == 0 if chosen is None else chosen), group)
-    return V.top_k(V.scan(index, asked, lambda q, trees: answers(q, trees, k), "long"), k)
+    return V.top_k(V.scan(index, asked, lambda q, trees: answers(q, trees, k), k, "long"), k)

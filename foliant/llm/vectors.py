@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import load_arrays, materialize, save_arrays, scratch
 
-#: Bytes of vectors in a shard and of shards that a task holds at once.
-SHARD_BYTES, HELD_BYTES = 8 << 20, 64 << 20
+#: Bytes of vectors in a shard and of shards that a task holds at once; groups of queries whose best it keeps.
+SHARD_BYTES, HELD_BYTES, QUERIES = 8 << 20, 48 << 20, 64
 FOUND = "query_row long, query_id long, row long, vec_id long, score "
 
 
@@ -68,41 +68,50 @@ def deal(found: DataFrame, most: int) -> DataFrame:
     return _saved(found, most, 1, "queries", lambda x, ids, own: {"x": x, "ids": ids, "rows": own})
 
 
-def scan(index: DataFrame, asked: DataFrame, answer: Callable[[dict, list[dict]], tuple], score: str) -> DataFrame:
-    """FOUND of every group of queries against every shard of their length; answer(queries, shards) gives its columns."""
+def scan(index: DataFrame, asked: DataFrame, answer: Callable[[dict, list[dict]], tuple], k: int, score: str) -> DataFrame:
+    """FOUND of the queries' k best in the shards of each task; answer(queries, shards) gives its columns.
+
+    There are as many tasks as the cluster has cores, so what they hand on grows with the queries only. A task keeps the best so
+    far of QUERIES groups of queries while it loads its shards one lot after the other."""
     files: dict[int, list[str]] = {}
     for r in asked.select("dim", "file").collect():
         files.setdefault(r[0], []).append(r[1])
     kinds = [pa.int64()] * 4 + [pa.float64() if score == "double" else pa.int64()]
 
-    def batch(found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], names=["query_row", "query_id", "row", "vec_id", "score"])
-
-    def past(dim: int, held: list[dict]):
-        for path in files.get(dim, []):
-            yield batch(answer(load_arrays(path), held))
+    def lots(paths: list[str]):
+        held, size = [], 0
+        for path in paths:
+            held.append(load_arrays(path))
+            size += sum(a.nbytes for a in held[-1].values())
+            if size > HELD_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
     def run(batches):
-        dim, held, size = 0, [], 0
+        own: dict[int, list[str]] = {}
         for b in batches:
-            for d, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and (d != dim or size > HELD_BYTES):
-                    yield from past(dim, held)
-                    held, size = [], 0
-                dim = d
-                held.append(load_arrays(path))
-                size += sum(a.nbytes for a in held[-1].values())
-        if held:
-            yield from past(dim, held)
-
-    tasks = max(1, min(index.count(), 4 * index.sparkSession.sparkContext.defaultParallelism, 1 << 16))
-    dealt = index.select("dim", "file").repartition(tasks).sortWithinPartitions("dim", "file")
-    return dealt.mapInArrow(run, FOUND + score)
+            for dim, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own.setdefault(dim, []).append(path)
+        for dim, paths in own.items():
+            for at in range(0, len(files.get(dim, [])), QUERIES):
+                groups = files[dim][at : at + QUERIES]
+                best: dict[str, tuple] = {}
+                for held in lots(paths):
+                    for g in groups:
+                        found = answer(load_arrays(g), held)
+                        best[g] = best_of([best[g], found] if g in best else [found], k)
+                for found in best.values():
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(found, kinds)], names=["query_row", "query_id", "row", "vec_id", "score"])
+
+    tasks = max(1, min(index.count(), index.sparkSession.sparkContext.defaultParallelism))
+    return index.select("dim", "file").repartition(tasks).mapInArrow(run, FOUND + score)
 
 
 def best_of(found: list[tuple], k: int) -> tuple:
     """Of the columns query_row, query_id, row, vec_id, score of several shards the k best rows a query."""
-    q, qid, own, ids, s = (np.concatenate(c) for c in zip(*found))
+    q, qid, own, ids, s = (np.concatenate([np.asarray(part) for part in c]) for c in zip(*found))
     order = np.lexsort((own, ids, -s, q))
     q = q[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
