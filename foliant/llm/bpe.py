@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import portions
 
-SPAN, LEAF, CACHE, PARALLEL = 1024, 24, 400_000, 1 << 14
+SPAN, LEAF, CACHE, PARALLEL = 1024, 24, 300_000, 1 << 14
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -121,14 +121,14 @@ class Bpe:
                 return left[:a] + window + right[b:]
             w *= 2
 
-    def _word(self, piece: str) -> bytes:
-        """The ids of one pre-token as unsigned 32-bit integers."""
-        found = self.words.get(piece)
+    def _word(self, piece: str, keep: bool = True) -> bytes:
+        """The ids of one pre-token as unsigned 32-bit integers; a unit of one pre-token is remembered as a unit only."""
+        found = self.words.get(piece) or self.units.get(piece)
         if found is None:
             shown = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.model.tokenize(shown)] if len(shown) <= self.leaf else [i for i, _ in self.tree(shown)]
             found = np.array(ids, "<u4").tobytes()
-            if len(self.words) < 2 * CACHE:
+            if keep and len(self.words) < CACHE:
                 self.words[piece] = found
         return found
 
@@ -144,7 +144,7 @@ class Bpe:
             text = unit.lower() if self.kind == "word" else unit
             body = text[1:] if text[0] == " " else text
             if body.isalpha():
-                found = self._word(text)
+                found = self._word(text, keep=text != unit or len(self.units) >= CACHE)
             elif body[:-1].isalpha() and text[-1] in ".,":
                 found = self._word(text[:-1]) + self._word(text[-1])
             else:

@@ -71,11 +71,15 @@ def hash_sample(df: DataFrame, n: int, total: int, *keys) -> DataFrame:
 
 def portions(batches, rows: int = 1000, size: int = 4 << 20):
     """Arrow batches cut into slices of at most `rows` rows and about `size` bytes, so that the Python objects made of them stay few.
-    Spark itself bounds the batches by spark.sql.execution.arrow.maxBytesPerBatch."""
+    Spark itself bounds the batches by spark.sql.execution.arrow.maxBytesPerBatch; the memory of one goes back before the next."""
+    import pyarrow as pa
+
     for b in batches:
         step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
