@@ -26,3 +26,21 @@ def test_stages_follow_brute_force(spark, tmp_path):
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(kept[4])
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5
     assert all((bpe, langid, mixing, simhash, toxicity))
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """Columns that the stages might use themselves, and an empty table, pass through all stages but the last unchanged."""
+    extra = ["__n", "__id", "__text", "__copies", "id", "text_key", "row", "link", "doc", "one", "words", "size", "i", "t"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    text = "the thing with the other where under again " * 4
+    rows = [(i, f"{text} {i} {i + 1}", "en", f"s{i % 2}", 5, *("x",) * len(extra)) for i in range(12)]
+    rows += [rows[0], (None, text, "en", None, 5, *(None,) * len(extra)), (99, "under " * 60_000, "en", "s1", 5, *("x",) * len(extra))]
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, data in enumerate((rows, [])):
+        at = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            out.write.parquet(str(tmp_path / f"{name}{k}"))
+            at = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert name == "BPE" or at.dtypes == spark.createDataFrame([], schema).dtypes
+        assert (at.count() > 0) == bool(data)

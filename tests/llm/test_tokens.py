@@ -97,3 +97,15 @@ def test_token_files(spark):
         start += len(ids)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
     assert tokenfile.round_trip(spark.createDataFrame([], "doc_id long, text string"), vocabulary(NAMES[0])).count() == 0
+
+
+def test_token_files_with_repeated_ids(spark):
+    library = Tokenizer.from_file(vocabulary(NAMES[0]))
+    rows = [(i // 3, f"text {i} " * (1 + i % 5)) for i in range(60)] + [(7, "same"), (7, "same"), (70, "word " * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = tokenfile.round_trip(df, vocabulary(NAMES[0])).collect()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids) + 1
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((d, count(t)) for d, t in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
