@@ -27,17 +27,33 @@ def scalar_stability(docs: DataFrame, column: str) -> DataFrame:
     return s.select(F.lit(column).alias("metric"), "*", to_stability(F.col("cv")).alias("stability"))
 
 
-def robust_stability(docs: DataFrame, column: str) -> DataFrame:
-    """As scalar_stability, outliers dropped first: quartiles by floor index from exact percentiles of ranks, no array of the batch."""
-    ranked = docs.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = ranked.agg(F.count("*").alias("n"))
-    order = ranked.groupBy("v").agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(Window.orderBy("v")))
-    q = lambda p: F.min(F.when(F.col("hi") > F.floor(F.col("n") * p), F.col("v")))
-    cuts = order.crossJoin(n).groupBy("n").agg(q(0.25).alias("q1"), q(0.75).alias("q3"))
-    inside = F.col("v").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    marked = ranked.crossJoin(cuts).withColumn("inside", (F.col("n") < 4) | inside)
-    kept = marked.agg(F.count_if("inside").alias("kept"), S.variation(F.when(F.col("inside"), F.col("v"))).alias("a"), S.variation(F.col("v")).alias("b"))
-    return kept.select(F.lit(column).alias("metric"), F.when(F.col("kept") < 2, F.col("b")).otherwise(F.col("a")).alias("robust_cv")).withColumn("stability", to_stability(F.col("robust_cv")))
+def floor_quantiles(values: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """metric, n and an exact quantile q0, q1, ... for each share: the value at index floor(n share) of a metric's sorted values.
+
+    values: metric, v. Approximate percentiles on either side (ranks to 1 in 10,000) bracket each quantile; only distinct values in
+    the bracket, some thousandth of the rows, are ranked. No array or window spans all values."""
+    around = [F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-0.001, 0.001)]
+    b = values.groupBy("metric").agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*around), 10000).alias("p"))
+    one = lambda k, s: F.struct(F.lit(k).alias("k"), F.floor(F.col("n") * s).alias("index"), F.col("p")[2 * k].alias("lo"), F.col("p")[2 * k + 1].alias("hi"))
+    b = b.select("metric", "n", F.explode(F.array(*(one(k, s) for k, s in enumerate(shares)))).alias("b")).select("metric", "n", "b.*")
+    at = values.join(F.broadcast(b), "metric").where("v <= hi")  # a row per metric and share
+    c = at.groupBy("metric", "n", "k", "index", F.greatest("v", "lo").alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("metric", "k").orderBy("v")
+    c = c.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") > F.col("index"))
+    return c.groupBy("metric", "n").agg(*(F.min(F.when(F.col("k") == k, F.col("v"))).alias(f"q{k}") for k in range(len(shares))))
+
+
+def robust_stability(docs: DataFrame, *columns: str) -> DataFrame:
+    """metric, robust_cv, stability of numbers of documents, outliers dropped first: beyond 1.5 interquartile ranges of the quartiles.
+
+    Below four values, or where under two would remain, all count. A column without values has no row."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")
+    values = docs.select(each).select("r.*").where("v is not null")
+    marked = values.join(F.broadcast(floor_quantiles(values, (0.25, 0.75))), "metric")  # a row per metric
+    inside = F.col("v").between(F.col("q0") - 1.5 * (F.col("q1") - F.col("q0")), F.col("q1") + 1.5 * (F.col("q1") - F.col("q0")))
+    marked = marked.withColumn("inside", (F.col("n") < 4) | inside)
+    kept = marked.groupBy("metric").agg(F.count_if("inside").alias("kept"), S.variation(F.when(F.col("inside"), F.col("v"))).alias("a"), S.variation(F.col("v")).alias("b"))
+    return kept.select("metric", F.when(F.col("kept") < 2, F.col("b")).otherwise(F.col("a")).alias("robust_cv")).withColumn("stability", to_stability(F.col("robust_cv")))
 
 
 def mean_pairwise_cosine(vectors: DataFrame, key: str, dim: str, value: str) -> DataFrame:
