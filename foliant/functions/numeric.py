@@ -72,8 +72,35 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def format_score(kind: Column, text: Column) -> Column:
-    """How well a text fits a field kind: date, money, number or text."""
-    date = text.rlike(r"\d{1,4}[/-]\d{1,2}[/-]\d{1,4}")
-    amount = text.rlike(r"^\$?[\d,]+\.\d{2}$")
-    return F.when(kind == "date", F.when(date, 1.0).otherwise(0.0)).when(kind == "money", F.when(amount, 1.0).when(T.is_numeric_only(text), 0.6).otherwise(0.0)).when(kind == "number", F.when(T.is_numeric_only(text), 1.0).otherwise(0.0)).otherwise(F.when(F.trim(text) != "", 0.5).otherwise(0.0))
+#: What makes a text a date, an invoice number or a quantity.
+DATED = r"(?i)\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b[a-z]{3,9}\s+\d{1,2},\s*\d{4}\b"
+NUMBERED, COUNTED = r"(?i)[a-z0-9][a-z0-9\-_/.]{2,}", r"^\s*\d+(\.\d+)?\s*$"
+
+
+def format_score(key: Column, text: Column) -> Column:
+    """1 or 0 for whether a text fits its field: invoice_number, invoice_date, an amount by its key, quantity; 0.4 for other fields.
+
+    A null or empty text scores 0; any digit makes an amount."""
+    t = F.coalesce(text, F.lit(""))
+    fits = F.when(key == "invoice_number", t.rlike(NUMBERED) & ~t.rlike(DATED)).when(key == "invoice_date", t.rlike(DATED)).when(key.rlike("total|subtotal|tax|discount"), t.rlike(r"\d")).when(key == "quantity", t.rlike(COUNTED))
+    return F.when(t == "", 0.0).when(fits.isNull(), 0.4).otherwise(fits.cast("double"))
+
+
+#: Words of a field's key that make it a number.
+NUMBER_KEYS = r"\b(invoice_number|quantity|qty|amount|subtotal|total|tax|discount|price|unit_price|invoice_total)\b"
+
+
+def type_hint(magic: Column, key: Column) -> Column:
+    """date, text, numeric or any, by a field's declared type, else its key; null counts as blank."""
+    m, k = (F.lower(F.coalesce(c, F.lit(""))) for c in (magic, key))
+    has = lambda c, *words: F.coalesce(*(F.when(F.contains(c, F.lit(w)), True) for w in words), F.lit(False))
+    return F.when(has(m, "date") | has(k, "date"), "date").when(has(m, "text"), "text").when(has(m, "num", "money", "currency") | k.rlike(NUMBER_KEYS), "numeric").otherwise("any")
+
+
+def consistent(quantity: Column, price: Column, amount: Column) -> tuple[Column, Column, Column]:
+    """(quantity, price, amount) as texts: signs stripped, money with two decimals (empty if there is none), a missing amount from the
+    product. A number is what a text begins with once all but digits, points and minus signs are gone."""
+    kept = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9.-]", "")
+    start = lambda c: F.regexp_extract(c, r"^-?(\d+\.?\d*|\.\d+)", 0).try_cast("double")
+    q, p, a = kept(quantity), fixed2(start(kept(price))), fixed2(start(kept(amount)))
+    return q, p, F.when((a == "") & (q != "") & (p != ""), fixed2(start(q) * p.try_cast("double"))).otherwise(a)

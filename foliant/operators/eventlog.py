@@ -147,3 +147,35 @@ def source_counts(entries: DataFrame) -> DataFrame:
 def feature_flags(entries: DataFrame, column: str = "query") -> DataFrame:
     c = F.coalesce(F.col(column), F.lit(""))
     return entries.agg(F.count_if(T.is_email(c)).alias("email_like"), F.count_if(T.is_url(c)).alias("url_like"), F.count_if(T.is_mixed(c)).alias("mixed_alnum"), F.count_if(T.is_numeric_only(c)).alias("numeric_only"))
+
+
+def filtered(t: DataFrame, doc: str | None = None, field: str | None = None, stage: str | None = None) -> DataFrame:
+    """Events of a document, a field and a stage; a filter left out passes all."""
+    for column, value in (("doc_id", doc), ("field_key", field), ("stage", stage)):
+        if value:
+            t = t.where(F.col(column) == value)
+    return t
+
+
+def filter_options(t: DataFrame) -> DataFrame:
+    """column, value: what each filter may be set to."""
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("doc_id", "field_key", "stage")))).alias("o")
+    return t.select(one).select("o.*").where("value is not null").distinct()
+
+
+def shown_box(box: Column) -> Column:
+    """A box as {x:1, y:2, w:3, h:4} to two places, halves up, sides that are null left out; null for no box."""
+    two = lambda c: F.regexp_replace((F.floor(c * 100 + 0.5) / 100).cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+    parts = F.concat_ws(", ", *(F.concat(F.lit(f"{k}:"), two(box[k])) for k in "xywh"))
+    return F.when(box.isNotNull(), F.concat(F.lit("{"), parts, F.lit("}")))
+
+
+def event_summaries(t: DataFrame) -> DataFrame:
+    """shown_box, shown_counts, shown_value and expanded of events with pixel_box, unit_box, tokens, anchors, scans, output, expansion."""
+    named = lambda c: F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))
+    blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("n/a"))
+    return t.withColumns({
+        "shown_box": blank(F.concat_ws(" | ", shown_box(F.col("pixel_box")), shown_box(F.col("unit_box")))),
+        "shown_counts": blank(F.concat_ws(", ", named("tokens"), named("anchors"), named("scans"))),
+        "shown_value": F.coalesce("output", F.lit("n/a")), "expanded": F.coalesce(F.col("expansion") > 0, F.lit(False)),
+    })

@@ -57,3 +57,20 @@ def test_statistics(spark):
     v = spark.createDataFrame([([1.0, 0.0, 0.0], [0.0, 1.0, 0.0])], "a array<double>, b array<double>")
     r = v.select(stats.cosine(F.col("a"), F.col("a")), stats.cosine(F.col("a"), F.col("b")), stats.divergence(F.col("a"), F.col("b")), stats.divergence(F.col("a"), F.col("a"))).first()
     assert (r[0], r[1], r[3]) == (1.0, 0.0, 0.0) and r[2] > 0.9
+
+
+def test_cells_hints_and_shown_boxes_of_odd_values(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.functions import numeric
+    from foliant.operators import eventlog
+
+    rows = [("2 pcs", "$3.5", None), (None, None, "12.5-3"), ("-", "abc", ""), ("1.5", "2.005", "0")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, p string, a string")
+    got = [tuple(r) for r in df.orderBy("i").select(*numeric.consistent(F.col("q"), F.col("p"), F.col("a"))).collect()]
+    assert got[:3] == [("2", "3.50", "7.00"), ("", "", "12.50"), ("-", "", "")] and got[3][2] == "0.00"
+    keys = spark.createDataFrame([(None, None), ("Money", "x"), (None, "due_date"), ("text", "tax"), (None, "the tax"), (None, "taxes")], "m string, k string")
+    assert [r[0] for r in keys.select(numeric.type_hint(F.col("m"), F.col("k"))).collect()] == ["any", "numeric", "date", "text", "numeric", "any"]
+    assert [r[0] for r in keys.select(numeric.format_score(F.col("k"), F.lit("12"))).collect()] == [0.4, 0.4, 0.4, 1.0, 1.0, 0.4]
+    box = spark.createDataFrame([((1.0, None, 100.0, -0.125),), (None,)], "b struct<x:double,y:double,w:double,h:double>")
+    assert [r[0] for r in box.select(eventlog.shown_box(F.col("b"))).collect()] == ["{x:1, w:100, h:-0.12}", None]
