@@ -21,11 +21,14 @@ def char_delta(before: Column, after: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, d: s + d)
 
 
-def traced(events: DataFrame) -> DataFrame:
-    """Events with defaults, changed, delta and overridden (the field was changed before)."""
+def traced(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Events with defaults, changed, delta and overridden (the field was changed before).
+
+    A log is one session, so a field's events are in one order; `within` names the columns (document, session) that part several
+    logs in one table, which also spreads a frequent field over tasks."""
     named = events.withColumns({"rule": F.coalesce(F.nullif("rule", F.lit("")), F.lit("unspecified")), "stage": F.coalesce(F.nullif("stage", F.lit("")), F.lit("other")), "field_key": F.coalesce(F.nullif("field_key", F.lit("")), F.lit("__unknown__"))})
     changed = ~F.col("before").eqNullSafe(F.col("after"))
-    before = Window.partitionBy("field_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*within, "field_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     named = named.withColumn("changed", changed).withColumn("delta", F.when(changed, F.coalesce("char_delta", char_delta(F.col("before"), F.col("after")))).otherwise(0))
     return named.withColumn("overridden", F.col("changed") & F.coalesce(F.max("changed").over(before), F.lit(False)))
 

@@ -319,3 +319,42 @@ def line_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
 def candidate_text(candidates: Column, candidate_id: Column) -> Column:
     """Text of the first candidate (structs with id and text) with the id; null if there is none."""
     return F.try_element_at(F.filter(candidates, lambda c: c["id"] == candidate_id), F.lit(1))["text"]
+
+
+#: How far centres in an aligned group may step, the sizes that count as alike, and a band's gap and separator span.
+STEP, ALIKE, LEAST_ALIGNED = 8.0, 0.3, 3
+BAND_PIXELS, BAND_SHARE, SEPARATOR = 10.0, 0.02, 0.25
+
+
+def aligned_groups(boxes: DataFrame, keys: list[str], axis: str = "horizontal") -> DataFrame:
+    """Groups of three boxes or more whose centres step by 8 at most, with like sizes across the axis.
+
+    grp, members, first and last id along the axis (ties by id), cross (median size across) and along (median size along, null where
+    those sizes differ by 30 % or more). Horizontal groups have centres at like heights."""
+    at, side, other = ("y", "h", "w") if axis == "horizontal" else ("x", "w", "h")
+    place = "x" if at == "y" else "y"
+    w = Window.partitionBy(*keys).orderBy("__c", "id")
+    b = boxes.withColumn("__c", _mid(at, side))
+    b = b.withColumn("__new", F.when(F.col("__c") - F.lag("__c").over(w) > STEP, 1).otherwise(0))
+    b = b.withColumn("grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    like = lambda c: F.greatest(F.max(c) - F.median(c), F.median(c) - F.min(c)) / F.greatest(F.lit(1.0), F.median(c)) < ALIKE
+    order = F.struct(place, "id")
+    g = b.groupBy(*keys, "grp").agg(
+        F.count("*").alias("members"), F.min_by("id", order).alias("first"), F.max_by("id", order).alias("last"), F.median(side).alias("cross"),
+        like(side).alias("__like"), F.when(like(other), F.median(other)).alias("along"),
+    )
+    return g.where((F.col("members") >= LEAST_ALIGNED) & F.col("__like")).drop("__like")
+
+
+def line_bands(lines: DataFrame, pages: DataFrame, keys: list[str], separator: float = SEPARATOR) -> DataFrame:
+    """Bands of horizontal lines (y, x1, x2): a gap above the larger of 10 and 2 % of the page's height parts them.
+
+    band, lines, y (mean), y1, y2, x1, x2, span (share of the page's width) and separator (a span of at least the given share)."""
+    w = Window.partitionBy(*keys).orderBy("y", "x1", "x2")
+    l = lines.select(*keys, "y", "x1", "x2").join(pages, keys)
+    gap = F.greatest(F.lit(BAND_PIXELS), F.floor(F.col("height") * BAND_SHARE + 0.5))
+    l = l.withColumn("__new", F.when(F.col("y") - F.lag("y").over(w) > gap, 1).otherwise(0))
+    l = l.withColumn("band", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = l.groupBy(*keys, "band").agg(F.count("*").alias("lines"), F.avg("y").alias("__y"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.first("width").alias("__w"))
+    span = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")) / F.col("__w")
+    return g.select(*keys, "band", "lines", F.col("__y").alias("y"), "y1", "y2", "x1", "x2", span.alias("span"), (span >= separator).alias("separator"))

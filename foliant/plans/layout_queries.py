@@ -281,3 +281,20 @@ UNION ALL SELECT 'spatial_distribution', round((SELECT sum(s2 - q2) / 2 FROM (SE
 UNION ALL SELECT 'surface_type', round((SELECT sum(s2 - q2) / 2 FROM (SELECT sum(u) * sum(u) AS s2, sum(u * u) AS q2 FROM su GROUP BY dim)) / (SELECT n * (n - 1) / 2 FROM k), 3)::DOUBLE""")
 def stability_metrics(spark, sf_dir):
     return summary.stability(summary.summaries(*documents(spark, sf_dir))).select("metric", F.round("stability", 6).alias("stability"))
+
+
+@query(PIXELS + """, g AS (SELECT *, sum(new_) OVER (PARTITION BY page ORDER BY c, id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN c - lag(c) OVER (PARTITION BY page ORDER BY c, id) > 8 THEN 1 ELSE 0 END AS new_ FROM (SELECT *, y + h / 2 AS c FROM t))),
+m AS (SELECT page, grp, median(h) AS mh, median(w) AS mw FROM g GROUP BY 1, 2), k AS (SELECT g.page, g.grp, count(*) AS members, arg_min(id, (x, id)) AS first, arg_max(id, (x, id)) AS last, any_value(mh) AS mh, any_value(mw) AS mw, bool_and(abs(h - mh) / greatest(1, mh) < 0.3) AS lh, bool_and(abs(w - mw) / greatest(1, mw) < 0.3) AS lw FROM g JOIN m ON g.page = m.page AND g.grp = m.grp GROUP BY 1, 2)
+SELECT page, CAST(grp AS BIGINT) AS grp, members, first, last, round(mh, 9) AS cross_, round(CASE WHEN lw THEN mw END, 9) AS along FROM k WHERE members >= 3 AND lh""")
+def aligned_groups(spark, sf_dir):
+    return layout.aligned_groups(pixels(spark, sf_dir), KEY).select("page", "grp", "members", "first", "last", F.round("cross", 9).alias("cross_"), r9("along"))
+
+
+@query("""WITH l AS (SELECT s_nationkey AS page, (s_suppkey * 97 % 800)::DOUBLE AS y, (s_suppkey % 3 * 100)::DOUBLE AS x1, (500 + s_suppkey % 4 * 100)::DOUBLE AS x2 FROM supplier),
+b AS (SELECT *, sum(new_) OVER (PARTITION BY page ORDER BY y, x1, x2 ROWS UNBOUNDED PRECEDING) AS band FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x1, x2) > 16 THEN 1 ELSE 0 END AS new_ FROM l))
+SELECT page, CAST(band AS BIGINT) AS band, count(*) AS lines, round(avg(y), 9) AS y, min(y) AS y1, max(y) AS y2, (max(x2) - min(x1)) / 800 AS span, (max(x2) - min(x1)) / 800 >= 0.75 AS separator FROM b GROUP BY 1, 2""")
+def line_bands(spark, sf_dir):
+    pages, _, _ = pages_and_bounds(spark, sf_dir)
+    k = F.col("s_suppkey")
+    l = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), (k * 97 % 800).cast("double").alias("y"), (k % 3 * 100).cast("double").alias("x1"), (500 + k % 4 * 100).cast("double").alias("x2"))
+    return layout.line_bands(l, pages, KEY, 0.75).select("page", "band", "lines", r9("y"), "y1", "y2", "span", "separator")

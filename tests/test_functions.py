@@ -71,6 +71,6 @@ def test_cells_hints_and_shown_boxes_of_odd_values(spark):
     assert got[:3] == [("2", "3.50", "7.00"), ("", "", "12.50"), ("-", "", "")] and got[3][2] == "0.00"
     keys = spark.createDataFrame([(None, None), ("Money", "x"), (None, "due_date"), ("text", "tax"), (None, "the tax"), (None, "taxes")], "m string, k string")
     assert [r[0] for r in keys.select(numeric.type_hint(F.col("m"), F.col("k"))).collect()] == ["any", "numeric", "date", "text", "numeric", "any"]
-    assert [r[0] for r in keys.select(numeric.format_score(F.col("k"), F.lit("12"))).collect()] == [0.4, 0.4, 0.4, 1.0, 1.0, 0.4]
+    assert [r[0] for r in keys.select(numeric.format_score(F.col("k"), F.lit("12"))).collect()] == [0.4, 0.4, 0.4, 1.0, 1.0, 1.0]
     box = spark.createDataFrame([((1.0, None, 100.0, -0.125),), (None,)], "b struct<x:double,y:double,w:double,h:double>")
     assert [r[0] for r in box.select(eventlog.shown_box(F.col("b"))).collect()] == ["{x:1, w:100, h:-0.12}", None]

@@ -73,3 +73,31 @@ def test_summaries_of_empty_and_null_documents(spark):
     assert [len(r.vector) for r in summary.signatures(d, summary.neighbourhoods(d, edges)).collect()] == [14, 14]
     assert summary.summaries(docs.limit(0), d.limit(0), edges).count() == 0
     assert {r.metric: r.stability for r in summary.stability(s).collect()}["region_count"] == 1.0
+
+
+def test_context_matches_all_pairs(spark):
+    import random
+
+    from foliant.operators import matching
+
+    random.seed(3)
+    pts = [(p, i, random.random() * 2 - 1, random.random()) for p in (1, 2) for i in range(40)] + [(1, 99, 0.5, 0.5), (1, 98, 0.5, 0.5)]
+    df = spark.createDataFrame(pts, "page int, id int, x double, y double")
+    got = {(r.page, r.field_id): set() for r in matching.context(df, df.withColumn("text", df.id), ["page"], 0.3, 4).collect()}
+    for r in matching.context(df, df.withColumn("text", df.id), ["page"], 0.3, 4).collect():
+        assert r.text == r.id
+        got[r.page, r.field_id].add(r.id)
+    for p, i, x, y in pts:
+        d = sorted((math.dist((x, y), (u, v)), j) for q, j, u, v in pts if q == p)
+        assert got[p, i] == {j for away, j in d if away <= 0.3 and (away, j) in d[:4]}
+
+
+def test_aligned_groups_and_bands(spark):
+    rows = [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 30.0, 5.0, 10.0, 10.0), (1, 3, 15.0, 9.0, 30.0, 10.0), (1, 4, 0.0, 99.0, 5.0, 5.0), (None, 5, 0.0, 0.0, 1.0, 1.0)]
+    b = spark.createDataFrame(rows, BOX)
+    got = [(r.members, r.first, r.last, r.cross, r.along) for r in layout.aligned_groups(b, ["page"]).collect()]
+    assert got == [(3, 1, 2, 10.0, None)]
+    pages = spark.createDataFrame([(1, 100.0, 1000.0)], "page int, width double, height double")
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (1, 20.0, 0.0, 20.0), (1, 40.5, 0.0, 30.0)], "page int, y double, x1 double, x2 double")
+    assert sorted((r.band, r.lines, r.separator) for r in layout.line_bands(lines, pages, ["page"]).collect()) == [(0, 2, False), (1, 1, True)]
+    assert layout.line_bands(lines.limit(0), pages, ["page"]).count() == 0
