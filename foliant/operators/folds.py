@@ -16,7 +16,9 @@ def _schema(df: DataFrame, **more: T.DataType) -> T.StructType:
 
 
 def group_lines(tokens: DataFrame, keys: list[str], tolerance: float = 4.0, update: str = "biased") -> DataFrame:
-    """tokens with line: first fit in (y, x) order to the first line whose centre is within tolerance.
+    """tokens with line: in (y, x) order a token joins the first line whose centre is within tolerance.
+
+    Centres never pass the token at hand, so once a line is out of reach it stays so: only the newest line is looked at.
 
     biased: the running mean with the line's earlier tokens counted once more; midpoint: halfway to the token; mean: the mean of centres."""
     if update not in UPDATES:
@@ -28,9 +30,9 @@ def group_lines(tokens: DataFrame, keys: list[str], tolerance: float = 4.0, upda
         count: list[int] = []
         lines = []
         for c in page["__c"]:
-            k = next((i for i, m in enumerate(centers) if abs(m - c) <= tolerance), None)
-            if k is None:
-                k = len(centers)
+            k = len(centers) - 1
+            if k < 0 or abs(centers[k] - c) > tolerance:
+                k += 1
                 centers.append(c)
                 count.append(1)
             else:

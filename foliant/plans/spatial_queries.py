@@ -204,23 +204,37 @@ def token_ingest(spark, sf_dir):
     return readers.tokens(raw.unionByName(blank)).select("id", "page", "text", "confidence", "char_count")
 
 
-@query()
+RECURSIVE = BOXES.replace("WITH r", "WITH RECURSIVE r")
+
+
+@query(RECURSIVE + """, o AS (SELECT page, y + h / 2 AS c, row_number() OVER (PARTITION BY page ORDER BY y + h / 2, x, id) AS n FROM r),
+s(page, n, line, m, k) AS (SELECT page, n, 0, c, 1 FROM o WHERE n = 1 UNION ALL SELECT o.page, o.n, CASE WHEN abs(m - c) <= 0.01 THEN line ELSE line + 1 END, CASE WHEN abs(m - c) <= 0.01 THEN m + (c - m) / (k + 1) ELSE c END, CASE WHEN abs(m - c) <= 0.01 THEN k + 1 ELSE 1 END FROM s JOIN o ON o.page = s.page AND o.n = s.n + 1)
+SELECT page, line::INT AS line, count(*) AS n FROM s GROUP BY 1, 2""")
 def line_grouping(spark, sf_dir):
     b = boxes(spark, sf_dir)
     g = folds.group_lines(b, KEY, 0.01, "mean")
     return g.groupBy("page", "line").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(RECURSIVE + """, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, id) AS n FROM r),
+s(page, n, kept) AS (SELECT page, n, [{id: id, x: x, y: y, w: w, h: h}] FROM o WHERE n = 1 UNION ALL SELECT o.page, o.n,
+  CASE WHEN len(list_filter(kept, lambda b: greatest(0, least(o.x + o.w, b.x + b.w) - greatest(o.x, b.x)) * greatest(0, least(o.y + o.h, b.y + b.h) - greatest(o.y, b.y)) > 0.25 * o.w * o.h)) = 0 THEN list_append(kept, {id: o.id, x: o.x, y: o.y, w: o.w, h: o.h}) ELSE kept END
+  FROM s JOIN o ON o.page = s.page AND o.n = s.n + 1),
+f AS (SELECT page, arg_max(kept, n) AS kept FROM s GROUP BY page) SELECT page, unnest(kept).id AS id FROM f""")
 def non_maximum_suppression(spark, sf_dir):
     return folds.suppress(boxes(spark, sf_dir).withColumn("score", F.col("w") * F.col("h")), KEY).select("page", "id")
 
 
-@query()
+@query(RECURSIVE + f""", t AS (SELECT page, id, x + CASE WHEN id % 3 = 0 THEN 0.3 ELSE 0.006 END AS x, y, w, h FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, a, b) AS n FROM (SELECT a.page, a.id AS a, b.id AS b, round({OVER}, 9) AS score FROM r a JOIN t b ON a.page = b.page) WHERE score > 0),
+s(page, n, l, g, a, b, score) AS (SELECT page, n, [a], [b], a, b, score FROM p WHERE n = 1 UNION ALL SELECT p.page, p.n,
+  CASE WHEN list_contains(l, p.a) OR list_contains(g, p.b) THEN l ELSE list_append(l, p.a) END, CASE WHEN list_contains(l, p.a) OR list_contains(g, p.b) THEN g ELSE list_append(g, p.b) END,
+  CASE WHEN list_contains(l, p.a) OR list_contains(g, p.b) THEN NULL ELSE p.a END, p.b, p.score FROM s JOIN p ON p.page = s.page AND p.n = s.n + 1)
+SELECT page, a, b, score FROM s WHERE a IS NOT NULL""")
 def greedy_assignment(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    p = spatial.near_pairs(b, b.where("id % 2 = 1"), KEY, 0.1).where(spatial.overlap() > 0)
-    p = p.select(F.col("a_page").alias("page"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), spatial.overlap().alias("score"))
+    p = spatial.near_pairs(b, shifted(b), KEY, 0.1).withColumn("score", F.round(spatial.overlap(), 9)).where("score > 0")
+    p = p.select(F.col("a_page").alias("page"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
     return folds.assign_greedy(p, KEY, "a", "b", "score")
 
 

@@ -70,3 +70,28 @@ def test_phrases(spark):
     q = spark.createDataFrame([("q", "invoice no")], "query_id string, query string")
     got = search.phrase_candidates(t, q, ["doc_id"]).collect()
     assert {(r.place, r.n_tokens, r.candidate, r.score) for r in got} == {(0, 2, "Invoice No:", 6.0), (0, 1, "Invoice", 3.5), (1, 1, "No:", 0.5), (3, 1, "invoice", 3.5)}
+
+
+def test_newest_line_is_the_first_fit(spark):
+    import random
+
+    from foliant.operators import folds
+
+    random.seed(11)
+    rows = [(p, i, random.random(), round(random.random() * 60, 1), 1.0, 2.0) for p in (1, 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "page int, id int, x double, y double, w double, h double")
+    for update in folds.UPDATES:
+        got = {(r.page, r.id): r.line for r in folds.group_lines(df, ["page"], 1.5, update).collect()}
+        for page in (1, 2):
+            centres, counts = [], []
+            for _, i, _, y, _, h in sorted((r for r in rows if r[0] == page), key=lambda r: (r[3] + r[5] / 2, r[2], r[1])):
+                c = y + h / 2
+                k = next((k for k, m in enumerate(centres) if abs(m - c) <= 1.5), len(centres))
+                if k == len(centres):
+                    centres.append(c)
+                    counts.append(1)
+                else:
+                    counts[k] += 1
+                    n, m = counts[k], centres[k]
+                    centres[k] = {"biased": (m * n + c) / (n + 1), "midpoint": (m + c) / 2, "mean": m + (c - m) / n}[update]
+                assert got[page, i] == k
