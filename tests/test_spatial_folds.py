@@ -95,3 +95,22 @@ def test_newest_line_is_the_first_fit(spark):
                     n, m = counts[k], centres[k]
                     centres[k] = {"biased": (m * n + c) / (n + 1), "midpoint": (m + c) / 2, "mean": m + (c - m) / n}[update]
                 assert got[page, i] == k
+
+
+def test_hull_against_every_pair_of_points(spark):
+    import random
+
+    from foliant.operators import folds
+
+    random.seed(7)
+    groups = {1: [(random.randint(0, 9), random.randint(0, 9)) for _ in range(40)], 2: [(0, 0), (1, 1), (2, 2), (1, 1)], 3: [(4, 5), (4, 5)]}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, ps in groups.items() for x, y in ps], "page int, x double, y double")
+    got = {}
+    for r in folds.hulls(df, ["page"]).collect():
+        got.setdefault(r.page, []).append((r.x, r.y))
+    pts = set(groups[1])
+    cross = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    between = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+    edge = lambda p, q: p != q and all(cross(p, q, r) > 0 or (cross(p, q, r) == 0 and between(p, q, r)) for r in pts)
+    assert set(got[1]) == {e for p in pts for q in pts if edge(p, q) for e in (p, q)} and len(got[1]) == len(set(got[1]))
+    assert set(got[2]) >= {(0, 0), (2, 2)} and got[3] == [(4, 5)]
