@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, kdtree, langid, mixing, simhash, tokenfile, toxicity, warc
+from . import align, ann, bpe, chat, kdtree, langid, mixing, simhash, tokenfile, toxicity, warc
 
 #: The chain: form first, as it tells junk from prose, then toxicity.
 CATEGORIES = ["low_quality", "toxic"]
@@ -70,7 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_token_files, op3_warc, op4_chat, op5_bpe, op6_language, op7_top_k, op8_toxicity, op9_mixing, op10_simhash)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_token_files, op3_warc, op4_chat, op5_bpe, op6_language, op7_top_k, op8_toxicity, op9_mixing, op10_simhash, op13_alignment)}
 
 ORACLE = {
     "op3_warc": """
