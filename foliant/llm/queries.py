@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, chat, kdtree, langid, mixing, simhash, tokenfile, toxicity, warc
+from . import align, ann, bpe, chat, decontam, kdtree, langid, mixing, simhash, tokenfile, toxicity, trie, warc
 
 #: The chain: form first, as it tells junk from prose, then toxicity.
 CATEGORIES = ["low_quality", "toxic"]
@@ -70,11 +70,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_token_files, op3_warc, op4_chat, op5_bpe, op6_language, op7_top_k, op8_toxicity, op9_mixing, op10_simhash, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_token_files, op3_warc, op4_chat, op5_bpe, op6_language, op7_top_k, op8_toxicity, op9_mixing, op10_simhash, op11_decontamination, op12_prefix_trie, op13_alignment)}
 
 ORACLE = {
     "op3_warc": """
@@ -118,4 +126,42 @@ p AS (SELECT d.*, source_size, target, whole, rest,
         sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS pos
       FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(pos + size, rest) - pos) AS BIGINT) AS taken FROM p""",
+    "op11_decontamination": """
+WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT item, n, unnest([array_to_string(w[k:k + n - 1], ' ') for k in range(1, len(w) - n + 2)]) AS gram FROM (SELECT *, least(10, len(w)) AS n FROM i WHERE len(w) > 0)),
+p AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram
+      FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT p.r, p.k, p.n FROM p JOIN g USING (gram)),
+c AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT p.r, g.item FROM p JOIN g USING (gram)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+b AS (SELECT i::UINTEGER AS i, i::UINTEGER AS r FROM range(256) x(i)),
+z AS (WITH RECURSIVE s(i, step, r) AS (
+    SELECT i, 0, r FROM b UNION ALL SELECT i, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UINTEGER) ELSE r >> 1 END FROM s WHERE step < 8)
+  SELECT i, r FROM s WHERE step = 8),
+zs AS (SELECT list(r ORDER BY i) AS z FROM z),
+h AS (SELECT c, n, c - c % 100 AS f,
+        xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT for x in string_split(CAST(c AS VARCHAR), '')]),
+            lambda a, x: xor(a >> 8, z[CAST(xor(a, x) & 255 AS BIGINT) + 1]::UBIGINT)), 4294967295::UBIGINT) % 6 AS h FROM k, zs),
+g AS (SELECT h.*, least(h.h, coalesce(k.n, 0)) AS take FROM h LEFT JOIN k ON k.c = h.f),
+r AS (SELECT g.c, t.k AS depth, t.role, t.text FROM g JOIN t ON t.c = g.f AND t.k <= g.take
+      UNION ALL SELECT g.c, g.take + t.k - g.h, t.role, t.text FROM g JOIN t ON t.c = g.c AND t.k > g.h),
+p AS (SELECT c, CAST(depth AS BIGINT) AS depth, length(text) AS chars,
+        md5(string_agg(md5(role) || md5(text), '' ) OVER (PARTITION BY c ORDER BY depth)) AS key,
+        coalesce(md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'root') AS up FROM r
+      UNION ALL SELECT c, 0, 0, 'root', NULL FROM g),
+l AS (SELECT c, max(depth) AS length FROM p GROUP BY c),
+n AS (SELECT depth, key, up, any_value(chars) AS chars, min(p.c) AS low, count(*) AS n, sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (WHERE depth = length), '')) AS ends
+      FROM p JOIN l USING (c) GROUP BY depth, key, up),
+w AS (SELECT DISTINCT a.key, x.key AS below FROM p a JOIN p x ON x.c = a.c AND x.depth >= a.depth),
+s AS (SELECT w.key, sum((x.n - 1) * x.chars) AS saved, count(*) FILTER (WHERE x.key NOT IN (SELECT up FROM n WHERE up IS NOT NULL)) AS leaves FROM w JOIN n x ON x.key = w.below GROUP BY w.key)
+SELECT n.low AS conv_id, n.depth, u.low AS parent_conv_id, n.n AS n_convs, (SELECT count(*) FROM n y WHERE y.up = n.key) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.key = n.key LEFT JOIN n u ON u.key = n.up""",
 }
