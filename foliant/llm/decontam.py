@@ -3,10 +3,10 @@
 1. Benchmark items become windows of WINDOW consecutive words (an item of fewer words is one window). Equal windows collapse;
    their hashes are the set that is broadcast. It is written first and measured: beyond ROWS windows or BYTES it is cut by hash
    into as many parts as that needs, and the documents are scanned once for each part, so what is broadcast stays bounded.
-2. Documents are scanned where they lie: every position gets the hash of the window that begins there, in Java's lower case, and
-   looks it up. A word keeps its place under any lower-casing, so equal windows have equal hashes.
-3. A hit is verified in the join itself, word by word under the rule of the operator (A-Z only). Only hits leave the scan; they
-   are summed by document before they are shuffled.
+2. Documents are scanned where they lie: every word is hashed once, in Java's lower case, and every place looks up a hash of the
+   word hashes that begin there. A word keeps its place under any lower-casing, so equal windows have equal hashes.
+3. A hit is verified in the join itself, by its words under the rule of the operator (A-Z only). Scan, lookup and verification are
+   one generated loop, in which a document's words are never copied; only hits leave it, summed by document before they are shuffled.
 4. decontaminated() removes the words hit, or the documents that hold any.
 
 Defined results: a null or empty text has no words and is never hit; a null item_id counts as the item ''; rows with equal
@@ -31,50 +31,63 @@ WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN[:-1] + "+"), "")
 
 
-def lowered(found: Column) -> Column:
-    """Words with A-Z in lower case; other letters stay."""
-    return F.transform(found, lambda w: F.translate(w, ascii_uppercase, ascii_lowercase))
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; other letters stay."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
+def window_hash(hashes: Column, at: Column | int, n: int) -> Column:
+    """Hash of n word hashes from place `at`."""
+    return F.xxhash64(*(F.get(hashes, (F.lit(at) if isinstance(at, int) else at) + k) for k in range(n)))
+
+
+def word_hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(F.lower(w)))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item (the id as text), gram (its words), gid (their digest), h (hash of the scan), bytes; a row per item and distinct window."""
-    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), lowered(words(F.col("text").cast("string"))).alias("w"))
+    """item (the id as text), n (words), gram (the words, joined by spaces), gid (their digest), h (hash of the scan), bytes; a row per item and distinct window."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(lowered(text)).alias("w"))
     many = F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.slice("w", i, window))
     grams = F.when(F.size("w") >= window, many).when(F.size("w") > 0, F.array("w")).otherwise(F.array().cast("array<array<string>>"))
-    rows = w.select("item", F.explode(grams).alias("gram")).distinct()
-    text = F.array_join("gram", " ")
-    return rows.select("item", "gram", F.md5(text).alias("gid"), F.xxhash64(F.transform("gram", F.lower)).alias("h"), (F.octet_length(text) + 64).cast("long").alias("bytes"))
+    rows = w.select("item", F.explode(grams).alias("g")).select("item", F.size("g").alias("n"), F.array_join("g", " ").alias("gram"), word_hashes(F.col("g")).alias("g"))
+    h = reduce(lambda c, n: c.when(F.col("n") == n, window_hash(F.col("g"), 0, n)), range(2, window + 1), F.when(F.col("n") == 1, window_hash(F.col("g"), 0, 1)))
+    rows = rows.select("item", "n", "gram", h.alias("h")).distinct()
+    return rows.select("item", "n", "gram", F.md5("gram").alias("gid"), "h", (F.octet_length("gram") + 64).cast("long").alias("bytes"))
 
 
 def scanned(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, key (hash of the text), w (its words), n, idx, h: the hash of the window at every place idx % n, of the length number idx / n."""
+    """doc_id, key (hash of the text), w (its words), at, n, h: the hash of n words from place `at`, for every place and length."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), words(text).alias("w"))
-    rows = rows.select("*", F.transform("w", F.lower).alias("lw"))
-    at = lambda n: F.transform("lw", lambda _, i: F.when(i + n <= F.size("lw"), F.xxhash64(F.slice("lw", i + 1, n))))
-    return rows.select("doc_id", "key", "w", F.posexplode(F.concat(*(at(n) for n in lengths))).alias("idx", "h"))
+    rows = rows.select("*", word_hashes(F.col("w")).alias("hw"))
+    rows = rows.select("doc_id", "key", "w", "hw", F.posexplode_outer("hw").alias("at", "h0"))  # inner, it would have all words hashed twice, to filter empty arrays
+    rows = rows.withColumn("n", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
+    h = reduce(lambda c, n: c.when(F.col("n") == n, window_hash(F.col("hw"), F.col("at"), n)), lengths[1:], F.when(F.col("n") == lengths[0], window_hash(F.col("hw"), F.col("at"), lengths[0])))
+    return rows.where(F.col("at") + F.col("n") <= F.size("w")).select("doc_id", "key", "w", "at", "n", h.alias("h"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, rows: int = ROWS, size: int = BYTES) -> tuple[DataFrame, DataFrame]:
     """(spots, items): doc_id, key and spots (array of {at, n}: a window of n words begins at word `at`) or items (array of ids)."""
-    lengths = sorted(x[0] for x in windows.select(F.size("gram")).distinct().collect())  # at most WINDOW lengths
+    lengths = sorted(x[0] for x in windows.select("n").distinct().collect())  # at most WINDOW lengths
     total = windows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     parts = max(1, -(-total[0] // rows), -(-total[1] // size))
     spots, items = [], []
     for k in range(parts):
-        pairs = windows.where(F.pmod("h", F.lit(parts)) == k).select("item", "gram", "gid", "h", "bytes")
+        pairs = windows.where(F.pmod("h", F.lit(parts)) == k)
         fits = (pairs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) <= 2 * size
-        grams = pairs.dropDuplicates(["gid"]).select(F.col("h").alias("gram_h"), "gram", "gid")
+        grams = pairs.dropDuplicates(["gid"]).select(F.col("h").alias("gram_h"), F.col("n").alias("gram_n"), "gram", "gid")
         grams = F.broadcast(grams) if fits else grams
         if lengths:
             found = scanned(docs, lengths)
-            place = F.pmod(F.col("idx"), F.size("w"))
-            same = lowered(F.slice("w", place + 1, F.size("gram"))) == F.col("gram")
-            found = found.join(grams, (F.col("h") == F.col("gram_h")) & same)
-            found = found.select("doc_id", "key", F.struct(place.alias("at"), F.size("gram").alias("n")).alias("spot"), "gid")
+            said = lowered(F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " "))
+            same = (said >= F.col("gram")) & (said <= F.col("gram"))  # an equality would become a join key, built for every window
+            found = found.join(grams, (F.col("h") == F.col("gram_h")) & (F.col("n") == F.col("gram_n")) & same)
+            found = found.select("doc_id", "key", F.struct("at", "n").alias("spot"), "gid")
         else:
             found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")).alias("spot"), F.lit("").alias("gid")).where("false")
         found = materialize(found.groupBy("doc_id", "key").agg(F.collect_set("spot").alias("spots"), F.collect_set("gid").alias("gids")), "decontam-hits")
@@ -106,7 +119,7 @@ def contamination(docs: DataFrame, items: DataFrame, rows: int = ROWS, size: int
     windows = materialize(benchmark_windows(items), "decontam-windows")
     spots, whose = hits(docs, windows, rows, size)
     text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
     base = _with(_with(base, spots, "spots"), whose, "items")
     hit = covered(F.col("spots"))["hit"].cast("long")
     return base.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
