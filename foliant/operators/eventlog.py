@@ -68,32 +68,35 @@ def confusions(t: DataFrame, pairs: tuple[str, ...] | None = CONFUSIONS) -> Data
 
 # accuracy logs
 
-def log_lines(lines: DataFrame) -> DataFrame:
-    """line_no, label (before the JSON, its [prefix] dropped), details (from the first brace to the last)."""
+def log_lines(lines: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """within, line_no, label (before the JSON, its [prefix] dropped), details (from the first brace to the last)."""
     bare = F.regexp_replace("value", r"^\[[^\]]*\]\s*", "")
-    return lines.select("line_no", bare.alias("line"), F.trim(F.regexp_extract(bare, r"^([^{]*)", 1)).alias("label"), F.regexp_extract(bare, r"(\{.*\})", 1).alias("details"))
+    return lines.select(*within, "line_no", bare.alias("line"), F.trim(F.regexp_extract(bare, r"^([^{]*)", 1)).alias("label"), F.regexp_extract(bare, r"(\{.*\})", 1).alias("details"))
 
 
-def accuracy_rows(lines: DataFrame) -> DataFrame:
-    """One row per apply event of an `any` field, after the verify events that follow it before the field's next apply."""
+def accuracy_rows(lines: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per apply event of an `any` field, after the verify events that follow it before the field's next apply.
+
+    `within` names the columns (document, session) that part several logs in one table; a field's events are then in one order only
+    within its log, and a frequent field is spread over tasks."""
     get = lambda *paths: F.coalesce(*(F.get_json_object("details", f"$.{p}") for p in paths))
     low = F.lower("label")
     kind = F.when(F.contains(low, F.lit("verify.done")), "done").when(F.contains(low, F.lit("verify.skip")), "skip").when(F.contains(low, F.lit("magic_type")), "type").when(F.contains(low, F.lit("apply")), "apply").when(F.contains(low, F.lit("static-debug resolve")), "preview")
-    p = lines.select("line_no", "details", kind.alias("kind"), get("fieldKey", "field").alias("field_key"), get("magicTypeResolved", "magicDataType", "magicType").alias("magic"), get("raw").alias("raw"), get("cleaned").alias("cleaned"), get("changed").alias("changed"), get("reason").alias("reason"), get("preview").alias("preview"), get("confidence").cast("double").alias("confidence")).where("kind is not null and field_key is not null")
-    w = Window.partitionBy("field_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    p = lines.select(*within, "line_no", "details", kind.alias("kind"), get("fieldKey", "field").alias("field_key"), get("magicTypeResolved", "magicDataType", "magicType").alias("magic"), get("raw").alias("raw"), get("cleaned").alias("cleaned"), get("changed").alias("changed"), get("reason").alias("reason"), get("preview").alias("preview"), get("confidence").cast("double").alias("confidence")).where("kind is not null and field_key is not null")
+    w = Window.partitionBy(*within, "field_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("known", F.last(F.when(F.col("kind").isin("type", "apply"), F.col("magic")), ignorenulls=True).over(w))
     p = p.withColumn("applies", (F.col("kind") == "apply") & (F.lower("known") == "any"))
     p = p.withColumn("run", F.sum(F.col("applies").cast("int")).over(w))
-    early = Window.partitionBy("field_key", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    early = Window.partitionBy(*within, "field_key", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     shown = p.withColumn("seen", F.last(F.when(F.col("kind") == "preview", F.col("preview")), ignorenulls=True).over(early))
-    lagged = shown.withColumn("last_seen", F.lag(F.coalesce(F.when(F.col("kind") == "preview", F.col("preview")), F.col("seen"))).over(Window.partitionBy("field_key").orderBy("line_no")))
+    lagged = shown.withColumn("last_seen", F.lag(F.coalesce(F.when(F.col("kind") == "preview", F.col("preview")), F.col("seen"))).over(Window.partitionBy(*within, "field_key").orderBy("line_no")))
     at = lambda cond, c: F.max_by(F.when(cond, c), F.when(cond, F.col("line_no")))
     own, done = F.col("applies"), (F.col("kind") == "done") & (F.col("changed") == "true")
-    rows = lagged.where("run > 0").groupBy("field_key", "run").agg(at(own, F.col("line_no")).alias("line_no"), at(own, F.coalesce("raw", F.lit(""))).alias("raw"), at(own, F.coalesce("cleaned", "raw", F.lit(""))).alias("applied"), at(done, F.col("cleaned")).alias("verified"), F.max(done).alias("was_verified"), at(own, F.col("last_seen")).alias("preview"), F.max((F.col("kind") == "skip") & (F.col("reason") == "alignFail")).alias("align_fail"), F.last("confidence", ignorenulls=True).alias("confidence"))
+    rows = lagged.where("run > 0").groupBy(*within, "field_key", "run").agg(at(own, F.col("line_no")).alias("line_no"), at(own, F.coalesce("raw", F.lit(""))).alias("raw"), at(own, F.coalesce("cleaned", "raw", F.lit(""))).alias("applied"), at(done, F.col("cleaned")).alias("verified"), F.max(done).alias("was_verified"), at(own, F.col("last_seen")).alias("preview"), F.max((F.col("kind") == "skip") & (F.col("reason") == "alignFail")).alias("align_fail"), F.last("confidence", ignorenulls=True).alias("confidence"))
     final = F.coalesce("verified", "applied")
     rows = rows.withColumn("cleaned", final).withColumn("changed", F.col("raw") != F.col("cleaned"))
     by = F.when(~F.col("changed"), "none").when(F.col("was_verified"), "tesseract").when(F.col("raw") != F.col("applied"), "ocrmagic").when(F.col("preview").isNotNull() & (F.col("preview") != F.col("cleaned")), "upstream/pdf.js").otherwise("none")
-    return rows.select("field_key", "line_no", "raw", "cleaned", "changed", by.alias("corrected_by"), F.coalesce(F.col("was_verified") & (F.col("raw") != F.col("applied")) & (F.col("verified") == F.col("raw")), F.lit(False)).alias("introduced_error"), "align_fail")
+    return rows.select(*within, "field_key", "line_no", "raw", "cleaned", "changed", by.alias("corrected_by"), F.coalesce(F.col("was_verified") & (F.col("raw") != F.col("applied")) & (F.col("verified") == F.col("raw")), F.lit(False)).alias("introduced_error"), "align_fail")
 
 
 def accuracy_stats(rows: DataFrame) -> DataFrame:

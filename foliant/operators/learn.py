@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import dropped, written
 
 
 def threshold_sweep(rows: DataFrame, score: str, label: str, thresholds: list[float], measure: str = "f1") -> DataFrame:
@@ -95,7 +96,9 @@ def affine(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, rate: float = 0.01, steps: int = 50) -> dict[str, float]:
-    """Batch gradient descent without intercept: one aggregate of the gradient per step; the weights alone reach the driver."""
+    """Batch gradient descent without intercept: one aggregate of the gradient per step over the features, which are written once; the
+    weights alone reach the driver."""
+    rows = written(rows.select(*features, label), "logistic")
     w = np.zeros(len(features))
     y = F.col(label).cast("double")
     for _ in range(steps):
@@ -103,6 +106,7 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, rate: float =
         r = 1 / (1 + F.exp(-z)) - y
         got = rows.agg(*(F.avg(r * F.col(f)).alias(f) for f in features)).first()
         w -= rate * np.array([got[f] or 0.0 for f in features])
+    dropped(rows)
     return dict(zip(features, map(float, w)))
 
 

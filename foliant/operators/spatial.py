@@ -86,7 +86,7 @@ def region_edges(regions: DataFrame, keys: list[str], reach: float = 800.0, tole
 
     spatial_proximity: (1 - distance / reach) times likeness of confidence and source, above 0.08; contains, container
     first: 0.95 for direct children, less by depth; spatial_adjacency: by the shared part of the shorter side, above 0.15."""
-    p = near_pairs(regions, regions, keys, reach, reach).where("a_id < b_id")
+    p = near_pairs(regions, regions, keys, reach / 2, reach).where("a_id < b_id")
     g = F.col
     inside = lambda a, b: (g(f"{a}_x") <= g(f"{b}_x")) & (g(f"{a}_y") <= g(f"{b}_y")) & (g(f"{a}_x") + g(f"{a}_w") >= g(f"{b}_x") + g(f"{b}_w")) & (g(f"{a}_y") + g(f"{a}_h") >= g(f"{b}_y") + g(f"{b}_h"))
     dx = g("a_x") + g("a_w") / 2 - g("b_x") - g("b_w") / 2
@@ -98,6 +98,7 @@ def region_edges(regions: DataFrame, keys: list[str], reach: float = 800.0, tole
     lap = lambda c, s: F.least(g(f"a_{c}") + g(f"a_{s}"), g(f"b_{c}") + g(f"b_{s}")) - F.greatest(g(f"a_{c}"), g(f"b_{c}"))
     side = lambda c, s, t: F.when((lap(c, s) > tolerance) & (-lap(*t) >= -tolerance) & (-lap(*t) <= tolerance), lap(c, s) / F.greatest(F.lit(1.0), F.least(g(f"a_{s}"), g(f"b_{s}"))))
     shared = F.coalesce(side("y", "h", ("x", "w")), side("x", "w", ("y", "h")))
+    p = p.where((near > 0.1) | inside("a", "b") | inside("b", "a") | (shared > 0.15))  # before any edge is built
     edge = lambda cond, a, b, kind, weight: F.when(cond, F.struct(g(f"{a}_id").alias("source_id"), g(f"{b}_id").alias("target_id"), F.lit(kind).alias("edge_type"), weight.alias("weight")))
     edges = F.array(edge((near > 0.1) & (near * alike > 0.08), "a", "b", "spatial_proximity", near * alike), edge(inside("a", "b"), "a", "b", "contains", depth), edge(inside("b", "a") & ~inside("a", "b"), "b", "a", "contains", depth), edge(shared > 0.15, "a", "b", "spatial_adjacency", F.least(F.lit(0.9), 0.4 + shared * 0.5)))
     return p.select(*(g(f"a_{k}").alias(k) for k in keys), F.explode(F.filter(edges, lambda e: e.isNotNull())).alias("e")).select(*keys, "e.*")

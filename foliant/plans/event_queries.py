@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, stats, text
@@ -82,16 +82,17 @@ rows_ AS (SELECT *, raw <> cleaned AS changed, CASE WHEN raw = cleaned THEN 'non
 """
 
 
-def accuracy_log(spark, sf_dir) -> DataFrame:
+def accuracy_log(spark, sf_dir, field: Column | None = None, document: Column | None = None) -> DataFrame:
     """Log lines made of the events: apply (view, purchase), verify done (click), verify skip (signup), noise (error)."""
+    field = F.col("user_id") % 15 if field is None else field
     e = table(spark, sf_dir, "events")
     raw = F.floor(F.col("value") * 100 + 0.5).cast("long").cast("string")
-    e = e.select(F.col("event_id").alias("line_no"), F.concat(F.lit("f"), (F.col("user_id") % 15).cast("string")).alias("fieldKey"), "event_type", raw.alias("raw"))
+    e = e.select(F.col("event_id").alias("line_no"), F.concat(F.lit("f"), field.cast("string")).alias("fieldKey"), "event_type", raw.alias("raw"), *([] if document is None else [document.alias("document")]))
     label = F.when(F.col("event_type").isin("view", "purchase"), "ocr.apply").when(F.col("event_type") == "click", "ocr.verify.done").when(F.col("event_type") == "signup", "ocr.verify.skip").otherwise("noise")
     apply_, even = F.col("event_type").isin("view", "purchase"), F.col("line_no") % 2 == 0
     cleaned = F.when(apply_ & even, F.replace("raw", F.lit("0"), F.lit("O"))).otherwise(F.col("raw"))
     j = F.to_json(F.struct("fieldKey", F.when(apply_, F.col("raw")).alias("raw"), F.when(apply_ | ((F.col("event_type") == "click") & even), cleaned).alias("cleaned"), F.when(apply_, "any").alias("magicDataType"), F.when(F.col("event_type") == "click", even).alias("changed"), F.when(F.col("event_type") == "signup", "alignFail").alias("reason")))
-    return e.select("line_no", F.concat(F.lit("[12:00] "), label, F.lit(" "), j).alias("value"))
+    return e.select(*([] if document is None else ["document"]), "line_no", F.concat(F.lit("[12:00] "), label, F.lit(" "), j).alias("value"))
 
 
 @query(LOG + "SELECT field_key, line_no, raw, cleaned, changed, corrected_by, introduced_error, align_fail FROM rows_")
@@ -99,6 +100,16 @@ def accuracy_rows(spark, sf_dir):
     return eventlog.accuracy_rows(eventlog.log_lines(accuracy_log(spark, sf_dir)))
 
 
+#: The same log, of 250 events to a document.
+LOG_PARTS = LOG.replace("SELECT event_id AS line_no, 'f' || (user_id % 15) AS field_key", "SELECT event_id // 250 AS document, event_id AS line_no, 'f' || (event_id % 7) AS field_key").replace("PARTITION BY field_key", "PARTITION BY document, field_key").replace("SELECT field_key,", "SELECT document, field_key,").replace("GROUP BY field_key, run", "GROUP BY document, field_key, run")
+
+
+@query(LOG_PARTS + "SELECT document, field_key, line_no, raw, cleaned, changed, corrected_by, introduced_error, align_fail FROM rows_")
+def accuracy_rows_by_document(spark, sf_dir):
+    log = accuracy_log(spark, sf_dir, F.col("event_id") % 7, F.floor(F.col("event_id") / 250))
+    return eventlog.accuracy_rows(eventlog.log_lines(log, ("document",)), ("document",))
+
+
 @query(LOG + """SELECT field_key, count(*) AS total, count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE corrected_by = 'none') AS none, count(*) FILTER (WHERE corrected_by = 'ocrmagic') AS ocrmagic,
   count(*) FILTER (WHERE corrected_by = 'tesseract') AS tesseract, count(*) FILTER (WHERE corrected_by = 'upstream/pdf.js') AS upstream_pdf_js FROM rows_ GROUP BY GROUPING SETS ((field_key), ())""")
 def accuracy_by_field(spark, sf_dir):

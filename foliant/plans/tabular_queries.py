@@ -287,14 +287,13 @@ def key_value_scan(spark, sf_dir):
 
 
 @query("""SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) END AS k,
-  CASE WHEN event_id % 10 = 0 THEN '{"event_id": ' || event_id END AS error, event_id AS line_no FROM (SELECT row_number() OVER (ORDER BY event_id) AS event_id, props FROM events)""")
+  CASE WHEN event_id % 10 = 0 THEN '{"event_id": ' || event_id END AS error, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line_no FROM events""")
 def json_with_errors(spark, sf_dir):
-    n = F.row_number().over(Window.orderBy("event_id"))  # the table's lines in one file, as their numbers are to be compared
-    e = table(spark, sf_dir, "events").select(n.alias("event_id"), "props")
+    e = table(spark, sf_dir, "events").select("event_id", "props", F.floor(F.col("event_id") / 1000).alias("file"))
     broken = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
     line = F.when(F.col("event_id") % 10 == 0, broken).otherwise(F.concat(broken, F.lit(', "props": '), F.col("props"), F.lit("}")))
     path = f"{scratch.shared_dir(spark)}/foliant/lines-{uuid.uuid4().hex}"
-    e.select(line.alias("value")).coalesce(1).write.text(path)
+    e.withColumn("value", line).repartition("file").sortWithinPartitions("file", "event_id").select("value", "file").write.partitionBy("file").text(path)
     found = readers.json_lines(spark, path, "event_id long, props struct<k:int>")
     return found.select("event_id", "props.k", "error", "line_no")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], part
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = new.limit(0)
-    staged = f"{path}.staged"
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
     merged(old, new, keys).write.mode("overwrite").parquet(staged)  # the source must not be overwritten while it is read
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
