@@ -104,3 +104,15 @@ def consistent(quantity: Column, price: Column, amount: Column) -> tuple[Column,
     start = lambda c: F.regexp_extract(c, r"^-?(\d+\.?\d*|\.\d+)", 0).try_cast("double")
     q, p, a = kept(quantity), fixed2(start(kept(price))), fixed2(start(kept(amount)))
     return q, p, F.when((a == "") & (q != "") & (p != ""), fixed2(start(q) * p.try_cast("double"))).otherwise(a)
+
+
+def cleaned_by_hint(value: Column, magic: Column, key: Column) -> Column:
+    """The cleaning that a field's type hint calls for: a date made regular, a number read, text with single spaces; any other as it is, trimmed.
+
+    Where a date or number leaves nothing, the trimmed text stays."""
+    from . import dates
+
+    t = F.trim(F.coalesce(value, F.lit("")))
+    hint = type_hint(magic, key)
+    read = F.coalesce(F.nullif(dates.normal_date(dates.ocr_date(t)), F.lit("")), F.nullif(dates.ocr_date(t), F.lit("")), t)
+    return F.when(hint == "date", read).when(hint == "numeric", F.coalesce(F.nullif(ocr_number(t), F.lit("")), t)).when(hint == "text", F.trim(F.regexp_replace(t, r"\s+", " "))).otherwise(t)

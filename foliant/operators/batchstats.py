@@ -108,6 +108,17 @@ def region_similarity(a: str = "a", b: str = "b") -> Column:
     return F.round(sum((F.lit(w) * part[k] for k, w in SIMILARITY.items()), F.lit(0.0)), 4)
 
 
+def similar_regions(reference: DataFrame, targets: DataFrame, keys: list[str], least: float = 0.4) -> DataFrame:
+    """keys, doc, a_id, b_id, similarity: regions of a reference document and of the other documents (doc) of its batch that are alike by at least `least`.
+
+    Both have id and the columns of region_similarity(). Pairs are of one batch, and of one document each."""
+    names = [c for c in reference.columns if c not in keys]
+    a = reference.select(*keys, F.struct(*names).alias("a"))
+    b = targets.select(*keys, "doc", F.struct(*names).alias("b"))
+    p = b.join(a, keys).withColumn("similarity", region_similarity()).where(F.col("similarity") >= least)
+    return p.select(*keys, "doc", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "similarity")
+
+
 def spatial_histogram(boxes: DataFrame, key: str, cells: int = 4) -> DataFrame:
     """key, cell, share: normalised area by grid cell of the box centres; all cells present."""
     at = lambda c, s: F.least(F.floor((F.col(c) + F.col(s) / 2) * cells), F.lit(cells - 1))

@@ -118,7 +118,7 @@ def landmark_matches(landmarks: DataFrame, tokens: DataFrame, most: float = 0.3)
     away = F.sqrt(F.pow(F.col("x") - F.col("lx"), 2) + F.pow(F.col("y") - F.col("ly"), 2))
     close = within_edits(tk.select(F.col("t").alias("a")), lm.select(F.col("norm").alias("b")), most)
     found = tk.join(close, F.col("t") == F.col("a")).join(lm, F.col("b") == F.col("norm")).withColumn("away", away)
-    return first_by(found, ["landmark_id", "doc_id"], ["distance", "away", "x", "y"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
+    return first_by(found, ["landmark_id", "doc_id"], ["distance", "away", "x", "y", "text"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
 
 
 def context(fields: DataFrame, landmarks: DataFrame, keys: list[str], radius: float = 0.4, k: int = 10) -> DataFrame:

@@ -141,6 +141,20 @@ def capture(tokens: DataFrame, boxes: DataFrame, keys: list[str], reach: float,
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def area_capture(tokens: DataFrame, areas: DataFrame, keys: list[str], k: int = 7, most: int = 12, size: float = 0.1) -> DataFrame:
+    """keys, area_id, token_id, rank, dx, dy of the tokens whose centre is in an area, nearest to its centre first: rank 1 is the anchor, dx and
+    dy lead from it to the others. At most k supports, `most` if asked for."""
+    p = tokens_in_boxes(tokens, areas, keys, "center", size=size)
+    g = F.col
+    cx, cy = g("a_x") + g("a_w") / 2, g("a_y") + g("a_h") / 2
+    away = F.hypot(cx - g("b_x") - g("b_w") / 2, cy - g("b_y") - g("b_h") / 2)
+    p = p.select(*(g(f"a_{c}").alias(c) for c in keys), g("b_id").alias("area_id"), g("a_id").alias("token_id"), cx.alias("cx"), cy.alias("cy"), away.alias("distance"))
+    area = Window.partitionBy(*keys, "area_id")
+    p = p.withColumn("rank", F.row_number().over(area.orderBy("distance", "token_id"))).where(g("rank") <= 1 + min(k, most))
+    first = lambda c: F.max(F.when(g("rank") == 1, g(c))).over(area)
+    return p.select(*keys, "area_id", "token_id", "rank", (g("cx") - first("cx")).alias("dx"), (g("cy") - first("cy")).alias("dy"))
+
+
 def row_bands(tokens: DataFrame, keys: list[str], gap: float) -> DataFrame:
     """Tokens with a band number: a new band where the centre lies more than gap below the one before."""
     w = Window.partitionBy(*keys).orderBy("cy", "id")

@@ -11,7 +11,7 @@ from ..functions import text as T
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; every cell a string, quotes doubled, no line breaks inside cells, a leading BOM dropped."""
     df = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=False, emptyValue="", nullValue="\0").csv(path)
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns)).na.fill("")  # blank cells are empty texts
 
 
 def csv_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
