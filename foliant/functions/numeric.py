@@ -114,5 +114,6 @@ def cleaned_by_hint(value: Column, magic: Column, key: Column) -> Column:
 
     t = F.trim(F.coalesce(value, F.lit("")))
     hint = type_hint(magic, key)
-    read = F.coalesce(F.nullif(dates.normal_date(dates.ocr_date(t)), F.lit("")), F.nullif(dates.ocr_date(t), F.lit("")), t)
+    day = dates.ocr_date(t)
+    read = F.coalesce(F.nullif(dates.normal_date(day), F.lit("")), F.when(dates.looks_date(day), day), t)
     return F.when(hint == "date", read).when(hint == "numeric", F.coalesce(F.nullif(ocr_number(t), F.lit("")), t)).when(hint == "text", F.trim(F.regexp_replace(t, r"\s+", " "))).otherwise(t)

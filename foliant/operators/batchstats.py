@@ -111,7 +111,8 @@ def region_similarity(a: str = "a", b: str = "b") -> Column:
 def similar_regions(reference: DataFrame, targets: DataFrame, keys: list[str], least: float = 0.4) -> DataFrame:
     """keys, doc, a_id, b_id, similarity: regions of a reference document and of the other documents (doc) of its batch that are alike by at least `least`.
 
-    Both have id and the columns of region_similarity(). Pairs are of one batch, and of one document each."""
+    Both have id and the columns of region_similarity(). Pairs are of one batch, and of one document each; keys
+    must not be named a or b."""
     names = [c for c in reference.columns if c not in keys]
     a = reference.select(*keys, F.struct(*names).alias("a"))
     b = targets.select(*keys, "doc", F.struct(*names).alias("b"))
