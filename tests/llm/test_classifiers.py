@@ -76,3 +76,22 @@ def test_chain(spark):
     assert got[None].p_toxic < 0.5 and toxicity.keep(df, chain, "toxic").columns == df.columns
     none = toxicity.fit(df.limit(0), lab, ["low_quality", "toxic"])
     assert toxicity.predict(df, none).where("p_toxic > 0.01").count() == 0
+
+
+SHARED = "/root/testdata"
+
+
+def test_language_of_the_shared_documents_held_out(spark):
+    docs = spark.read.parquet(f"{SHARED}/sf0.01/documents.parquet")
+    got = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(got) > 150 and np.mean([r.lang_pred == r.lang for r in got]) > 0.98
+
+
+def test_toxicity_of_the_shared_documents_held_out(spark):
+    docs = spark.read.parquet(f"{SHARED}/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = toxicity.with_low_quality(spark.read.parquet(f"{SHARED}/sf0.1/labels.parquet"))
+    chain = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"), ["low_quality", "toxic"])
+    test = labels.where("doc_id % 3 = 0").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    got = toxicity.predict(docs.join(test, "doc_id"), chain).join(test, "doc_id").collect()
+    found, wrong = ([r.p_toxic >= 0.5 for r in got if r.toxic == k] for k in (1, 0))
+    assert len(found) > 100 and np.mean(found) > 0.8 and np.mean(wrong) < 0.01
