@@ -173,7 +173,8 @@ def unpack(data: bytes, blocks: range | None = None) -> tuple[list[int | None],
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame:
     """Write token files into path; the written manifest: part, file, offset, length, before (tokens of the file before), tokens."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash spreads rows without doc_id, or with one doc_id, over tasks
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches):
