@@ -1,17 +1,21 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. By prefix filtering.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. By bit-sliced SimHash, then exactly.
 
-1. Every text becomes its set of 64-bit shingle hashes; equal sets collapse to one row, so copies are never expanded.
+1. Every text becomes its set of 64-bit shingle hashes and their SimHash of 512 bits; equal sets collapse to one row, so copies are never expanded.
 2. All sets are put in one order, rarest shingles first. How often a shingle occurs is counted over all texts in one table of
    counters (about one for COUNTED shingles, at most 2^24); where shingles share one, the order is another, never the result.
 3. Sets at similarity 0.8 share a shingle among the first fifth of either, n - ceil(4 n / 5) + 1 shingles. Only those are indexed. A set
    meets another in the bucket of a shared one if their sizes allow the similarity, and so does what lies behind the shingle in
    both: boilerplate is frequent, comes last in the order and is left out, unless it is so much of both that they are similar.
-4. In every bucket each set is first paired with the NEAREST sets before it, within WINDOW rows in order of size, by 64 bits that
-   tell how alike sets are. Distinct pairs are compared once, exactly; links become components. Then only sets of one bucket in
-   different components are paired, so that a group of copies costs a few comparisons each. A pair is left out if its sketches
-   differ in more bins than (n + m) / 9, which the similarity excludes, or than FAR of BINS, which it makes less likely than 1 in
-   10^12. All others are compared, so no link between different texts is lost. Buckets beyond CAP are cut into chunks, every two
-   of which are paired by a task of their own.
+   Such buckets take the place of simhash's tables of equal bit blocks: at 0.8 some 15 % of the bits differ, so hardly a block stays equal.
+4. In every bucket the fingerprints are compared as bit planes with carry-save counters, and blocks beyond the radius are abandoned
+   (simhash.bit_sliced_links); only pairs within it go on. First by the first 64 bits, CLOSE of which may differ: each set is paired
+   with the NEAREST sets after it, within WINDOW rows in order of size. Distinct pairs are compared once, exactly; links become
+   components. Then all sets of one bucket in different components are compared by all 512 bits, so that a group of copies costs a few
+   comparisons each. A pair of the similarity differs in more than RADIUS bits with a probability below 1 in 10^12 (its bits
+   differ with at most 3/16 each, the case of 5 and 4 shingles). Of the pairs within the radius those are left out whose sketches
+   differ in more bins than (n + m) / 9, which the similarity excludes, or than FAR of BINS, which is as unlikely. All
+   others are compared exactly, so no link between different texts is lost. Buckets beyond CAP are cut into chunks, every
+   two of which are paired by a task of their own.
 
 Defined results: words are split and lowered as for the SimHash; a text of up to five words is one shingle; a null or empty
 text has the empty set, and these are copies of each other; null doc_ids and repeated rows are treated as in simhash.
@@ -29,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, filesystem, materialize, portions, scratch
-from .simhash import SEED, connected_components
+from .simhash import SEED, bit_counts, bit_sliced_links, connected_components
 
 WORDS, CAP, MEMBERS, COUNTED, BLOCK = 5, 4096, 2048, 64, 1 << 14
-NEAREST, WINDOW, BINS, FAR = 3, 256, 1024, 180
+NEAREST, WINDOW, BINS, FAR = 8, 256, 1024, 180
+#: 64-bit words of a fingerprint, and how many of its bits may differ; of the first word alone; words of candidates compared at once.
+WIDTH, RADIUS, CLOSE, SPANS = 8, 163, 24, 1 << 14
 #: Similarity from which documents are linked, as a fraction.
 LEAST = (4, 5)
 _PLACE = np.random.default_rng(SEED + 1).integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
+_TURN = np.random.default_rng(SEED).integers(0, 1 << 64, WIDTH, np.uint64)
 _COUNTS: dict[str, np.ndarray] = {}
 
 
@@ -149,8 +156,16 @@ def sketch(found: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, WIDTH words: a bit is 1 if it is set in over half of the shingles' hashes, of which every word has its own."""
+    counts = np.zeros(64 * WIDTH, np.int64)
+    for at in range(0, len(found), 1 << 13):
+        counts += bit_counts(_mixed(found[at : at + (1 << 13), None] ^ _TURN))
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+
+
 def sketches(docs: DataFrame, paths: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, text_key, node (a hash of the shingle set), n (its size), prefix, bins (its sketch), bits (64 of a small one) of every row."""
+    """doc_id, text_key, node (a hash of the shingle set), n (its size), prefix, bins (its sketch), print (its fingerprint), bits (the first word of that) of every row."""
     import xxhash
 
     def run(batches):
@@ -161,21 +176,29 @@ def sketches(docs: DataFrame, paths: list[tuple[int, str]]) -> DataFrame:
             first = [prefix(f, counters) for f in found]
             ends = np.cumsum([0] + [len(p) for p in first]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view("<i8")))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view("<i8")), pa.array([len(f) for f in found], pa.int64()), lists, pa.array([sketch(f).tobytes() for f in found], pa.binary()), pa.array([int(sketch(f, 64).view("<i8")[1]) for f in found], pa.int64())], names=["doc_id", "text_key", "node", "n", "prefix", "bins", "bits"])
+            marks = [fingerprint(f) for f in found]
+            columns = [b.column(0), b.column(2), pa.array(node.view("<i8")), pa.array([len(f) for f in found], pa.int64()), lists]
+            columns += [pa.array([sketch(f).tobytes() for f in found], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())]
+            columns += [pa.array([int(m.view("<i8")[0]) for m in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "prefix", "bins", "print", "bits"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, node long, n long, prefix array<long>, bins binary, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, node long, n long, prefix array<long>, bins binary, print binary, bits long")
 
 
-def _near(n: np.ndarray, place: np.ndarray, bits: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), j < i, of rows lo to before hi of one bucket and the NEAREST rows of the WINDOW before each."""
-    begin = max(0, lo - WINDOW)
-    i, j = np.arange(lo, hi)[:, None], np.arange(begin, hi)[None, :]
-    far = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-    far[(j >= i) | ~overlap_possible(n[i], place[i], n[j], place[j])] = 99
-    best = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
-    ok = np.take_along_axis(far, best, 1) < 99
-    return np.broadcast_to(i, best.shape)[ok], begin + best[ok]
+def _nearest(c: dict, end: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j < end[i] and j >= old, of each row and the NEAREST rows after it by the bits of their first fingerprint words, CLOSE at most."""
+    left, right = [], []
+    for i, j in bit_sliced_links(c["bits"], end, CLOSE, SPANS):
+        ok = (j >= old) & overlap_possible(c["n"][i], c["place"][i], c["n"][j], c["place"][j])
+        i, j = i[ok], j[ok]
+        order = np.lexsort((np.bitwise_count(c["bits"][i] ^ c["bits"][j]), i))
+        i, j = i[order], j[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < NEAREST
+        left.append(i[best])
+        right.append(j[best])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _first_pairs(batches):
@@ -200,53 +223,52 @@ def _first_pairs(batches):
             c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
         bounds = np.flatnonzero(np.concatenate([[True], c["h"][1:] != c["h"][:-1], [True]]))
         size = np.diff(bounds)
-        keep = np.repeat(size > 1, size)
+        several = np.repeat(size > 1, size)
+        keep = several.copy()
         if old and not alone:
             keep[:old] = False
         if keep.any():
             yield table(*(c[k][keep] for k in ("h", "node", "size")), None)
-        n, place, bits = c["size"] >> 31, c["size"] & 0x7FFFFFFF, c["bits"].view("<u8")
-        left, right = [], []
-        for lo, hi in zip(bounds[:-1][size > 1].tolist(), bounds[1:][size > 1].tolist()):
-            for at in range(max(lo + 1, old if lo == 0 else 0), hi, WINDOW // 2):
-                to = min(hi, at + WINDOW // 2)
-                i, j = _near(n[lo:hi], place[lo:hi], bits[lo:hi], at - lo, to - lo)
-                left.append(c["node"][lo + i])
-                right.append(c["node"][lo + j])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield table(None, b, None, a)
+        if several.any():
+            own = {"n": c["size"][several] >> 31, "place": c["size"][several] & 0x7FFFFFFF, "bits": c["bits"][several].view("<u8")}
+            many = size[size > 1]
+            i, j = _nearest(own, np.minimum(np.repeat(np.cumsum(many), many), np.arange(1, 1 + many.sum()) + WINDOW), old)
+            node = c["node"][several]
+            a, b = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1)
+            if len(a):
+                yield table(None, b, None, a)
         lo = max(int(bounds[-2]), len(c["h"]) - WINDOW)
         held, alone = {k: v[lo:] for k, v in c.items()}, int(size[-1]) == 1
 
 
 def _crossing(batches):
-    """Pairs (a, b) of rows (g, own, node, n, place, root, bins), sorted by g and n, of one bucket, different roots, a possible overlap and sketches that
-    are not too far apart; between chunks of a bucket only pairs of both. A group has at most two chunks."""
-    names = ("g", "own", "node", "n", "place", "root", "bins")
+    """Pairs (a, b) of rows (g, own, node, n, place, root, bins, print), sorted by g and n, of one bucket, at most RADIUS differing bits of the fingerprints,
+    different roots, a possible overlap and sketches that are not too far apart; between chunks of a bucket only pairs of both. A group has at most two chunks."""
+    names = ("g", "own", "node", "n", "place", "root", "bins", "print")
     rest = None
 
     def pairs(c):
+        if not len(c["g"]):
+            return
         bounds = np.flatnonzero(np.concatenate([[True], c["g"][1:] != c["g"][:-1], [True]]))
-        for lo, hi in itertools.pairwise(bounds.tolist()):
-            if hi - lo < 2 or (c["root"][lo:hi] == c["root"][lo]).all():
-                continue
-            part = {k: v[lo:hi] for k, v in c.items()}
-            both = part["own"].min() != part["own"].max()
-            most = np.searchsorted(part["n"] * LEAST[0], part["n"] * LEAST[1], "right")
-            bins = np.frombuffer(b"".join(part["bins"]), "<u8").reshape(hi - lo, 2, -1)
-            for i in range(hi - lo - 1):
-                j = np.arange(i + 1, most[i])
-                j = j[(part["root"][j] != part["root"][i]) & overlap_possible(part["n"][i], part["place"][i], part["n"][j], part["place"][j])]
-                if both:
-                    j = j[part["own"][j] != part["own"][i]]
-                if len(j):
-                    has = bins[j, 0] ^ bins[i, 0]
-                    apart = np.bitwise_count(has | (bins[j, 1] ^ bins[i, 1])).sum(1)
-                    j = j[apart <= np.minimum((part["n"][j] + part["n"][i]) // 9, FAR)]
-                if len(j):
-                    yield np.repeat(part["node"][i], len(j)), part["node"][j]
+        size, differ = np.diff(bounds), lambda k: np.minimum.reduceat(c[k], bounds[:-1]) != np.maximum.reduceat(c[k], bounds[:-1])
+        mixed, both = differ("root"), differ("own")
+        kept = np.repeat(mixed, size)
+        if not kept.any():
+            return
+        c, both, size = {k: v[kept] for k, v in c.items()}, np.repeat(both[mixed], size[mixed]), size[mixed]
+        n, place, root, own, node, stop = c["n"], c["place"], c["root"], c["own"], c["node"], np.cumsum(size)
+        end = np.concatenate([lo + np.searchsorted(n[lo:hi] * LEAST[0], n[lo:hi] * LEAST[1], "right") for lo, hi in zip((stop - size).tolist(), stop.tolist())])
+        bins = np.frombuffer(b"".join(c["bins"]), "<u8").reshape(len(n), 2, -1)
+        for i, j in bit_sliced_links(np.frombuffer(b"".join(c["print"]), "<u8").reshape(len(n), -1), end, RADIUS, SPANS):
+            ok = (root[i] != root[j]) & overlap_possible(n[i], place[i], n[j], place[j]) & ~(both[i] & (own[i] == own[j]))
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                apart = np.bitwise_count((bins[a, 0] ^ bins[b, 0]) | (bins[a, 1] ^ bins[b, 1])).sum(1)
+                near = apart <= np.minimum((n[a] + n[b]) // 9, FAR)
+                if near.any():
+                    yield node[a[near]], node[b[near]]
 
     def out(c):
         held, rows = [], 0
@@ -312,7 +334,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def links(docs: DataFrame, distinct: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links (a, b) of the pairs at the similarity LEAST or more that join all of each component; distinct has node, n, prefix, bins, bits, rep (doc_id, text_key)."""
+    """Links (a, b) of the pairs at the similarity LEAST or more that join all of each component; distinct has node, n, prefix, bins, print, bits, rep (doc_id, text_key)."""
     index = distinct.select("node", "n", "bits", F.posexplode("prefix").alias("place", "h"))
     index = index.select("h", (F.shiftleft("n", 31) + F.col("place")).alias("size"), "node", "bits").repartition("h").sortWithinPartitions("h", "size", "node")
     found = materialize(index.mapInArrow(_first_pairs, "h long, node long, n long, place long, a long"), "near-buckets")
@@ -327,7 +349,7 @@ def links(docs: DataFrame, distinct: DataFrame, cap: int = CAP) -> DataFrame:
     rows = rows.join(mixed, rows.h == mixed.h2).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.when(F.col("parts") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-    drawn = distinct.select(F.col("node").alias("k"), "bins")
+    drawn = distinct.select(F.col("node").alias("k"), "bins", "print")
     rows = rows.select(group.alias("g"), F.col("own").cast("long").alias("own"), "node", "n", "place", "root").join(drawn, F.col("node") == F.col("k")).drop("k").repartition("g").sortWithinPartitions("g", "n", "node")
     again = rows.mapInArrow(_crossing, "a long, b long").distinct()
     again = materialize(again.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
@@ -339,7 +361,7 @@ def links(docs: DataFrame, distinct: DataFrame, cap: int = CAP) -> DataFrame:
 def near_copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the component), text_key of every row of docs."""
     prints = materialize(sketches(docs, frequencies(docs)), "near-sketches")
-    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"), F.first("bits").alias("bits")), "near-distinct")
+    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"), F.first("print").alias("print"), F.first("bits").alias("bits")), "near-distinct")
     found = connected_components(links(docs, distinct, cap)).select(F.col("node").alias("k"), "root")
     labelled = materialize(distinct.select("node", "low").join(found, F.col("node") == F.col("k"), "left").select("node", "low", F.coalesce("root", "node").alias("root")), "near-root")
     heads = materialize(labelled.groupBy(F.col("root").alias("top")).agg(F.min("low").alias("component_id")), "near-head")

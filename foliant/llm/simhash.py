@@ -31,6 +31,15 @@ SEED, WORDS, RADIUS, BLOCKS, CAP = 42, 3, 3, 5, 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes, [n] or [n, words], have each bit."""
+    bits = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    total = np.zeros(bits.shape[1], np.int64)
+    for at in range(0, len(bits), 255):
+        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return total
+
+
 def simhash(text: str | None, words: int = WORDS) -> int:
     """64-bit fingerprint: bit set if it is set in over half of the shingle hashes."""
     import xxhash
@@ -48,7 +57,7 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     counts, n = np.zeros(64, np.int64), len(lo)
     for at in range(0, n, 1 << 16):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(lo[at : at + (1 << 16)], hi[at : at + (1 << 16)])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += bit_counts(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -65,16 +74,18 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """[64, words] bit planes: bit k of word w in plane b is bit b of fps[64 w + k]."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, "<u8")
+    """[bits, words] bit planes: bit k of word w in plane b is bit b of fps[64 w + k]; fps is [n], or [n, k] for 64 k bits each."""
+    padded = np.zeros((-(-len(fps) // 64) * 64, *fps.shape[1:]), "<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS, most: int = 1 << 18):
-    """Yield arrays (i, j), i < j < end[i], of rows at distance <= radius. end: where each row's bucket ends."""
-    planes, n = planes_of(fps), len(fps)
+    """Yield arrays (i, j), i < j < end[i], of rows at distance <= radius. end: where each row's bucket ends. All pairs of one i come together."""
+    if not len(fps):
+        return
+    planes, n, fields = planes_of(fps), len(fps), np.ascontiguousarray(fps.reshape(len(fps), -1).T)
     width = max(1, int(radius).bit_length())
     start = (1 << width) - 1 - radius  # counters begin here, so that they overflow beyond the radius
     row = np.arange(n)
@@ -90,9 +101,10 @@ def bit_sliced_links(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS, mos
             low, high = np.clip(i + 1 - 64 * w, 0, 63).astype(np.uint64), np.clip(end[i] - 64 * w, 1, 64).astype(np.uint64)
             over = ~((FULL << low) & (FULL >> (np.uint64(64) - high)))  # lanes outside the bucket are over from the start
             counters = [np.full(len(i), FULL if start >> k & 1 else 0, np.uint64) for k in range(width)]
-            q = fps[i]
-            for b in range(64):
-                carry = planes[b][w] ^ (np.uint64(0) - ((q >> np.uint64(b)) & np.uint64(1)))
+            for b in range(len(planes)):
+                if b % 64 == 0:
+                    q = fields[b // 64][i]
+                carry = planes[b][w] ^ (np.uint64(0) - ((q >> np.uint64(b % 64)) & np.uint64(1)))
                 for k in range(width):
                     counters[k], carry = counters[k] ^ carry, counters[k] & carry
                 over |= carry

@@ -48,6 +48,20 @@ def test_bit_sliced_links(radius):
     assert got == want
 
 
+@pytest.mark.parametrize("width, radius", [(2, 9), (8, 163)])
+def test_bit_sliced_links_of_wide_fingerprints(width, radius):
+    r = np.random.default_rng(radius)
+    fps = r.integers(0, 1 << 64, (5, width), np.uint64)[r.integers(0, 5, 200)]
+    for k in range(200):
+        for b in r.integers(0, 64 * width, r.integers(0, radius)):
+            fps[k, b // 64] ^= np.uint64(1 << int(b) % 64)
+    end = np.repeat([90, 91, 200], [90, 1, 109])
+    got = {(int(i), int(j)) for a, b in simhash.bit_sliced_links(fps, end, radius, 64) for i, j in zip(a, b)}
+    apart = {(i, j): int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for i in range(200) for j in range(i + 1, int(end[i]))}
+    assert got == {k for k, d in apart.items() if d <= radius} and 0 < len(got) < len(apart)
+    assert not list(simhash.bit_sliced_links(fps[:0], end[:0], radius))
+
+
 def test_components_match_brute_force(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(400)]
