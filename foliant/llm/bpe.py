@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import kept, portions
 
 SPAN, LEAF, CACHE, PARALLEL = 1024, 24, 300_000, 1 << 14
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ENCODERS: dict[str, "Bpe"] = {}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -220,9 +219,7 @@ class Bpe:
 
 def encoder(path: str) -> Bpe:
     """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Bpe(path)
-    return _ENCODERS[path]
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

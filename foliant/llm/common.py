@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_KEPT: dict[Hashable, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,17 +73,43 @@ def hash_sample(df: DataFrame, n: int, total: int, *keys) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(1 << 30)) < F.lit(int((1 << 30) * n / total)))
 
 
+def give_back() -> None:
+    """Return free memory to the system. glibc by itself keeps every gap below its last block in use, such as that of an Arrow batch's body."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """make(), remembered by the process until another key is asked for: a worker serves many stages, and holds what one of them needs."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def portions(batches, rows: int = 1000, size: int = 4 << 20):
     """Arrow batches cut into slices of at most `rows` rows and about `size` bytes, so that the Python objects made of them stay few.
-    Spark itself bounds the batches by spark.sql.execution.arrow.maxBytesPerBatch; the memory of one goes back before the next."""
+    Spark itself bounds the batches by spark.sql.execution.arrow.maxBytesPerBatch. The last slice is a copy, so that who still holds
+    it does not hold its batch; free memory goes back after every slice and at the end, when the last batch is gone."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for b in batches:
         step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)
-        del b
-        pa.default_memory_pool().release_unused()
+            part = b.slice(at, step)
+            if 0 < at >= b.num_rows - step:
+                part, b = pc.take(part, pa.array(range(part.num_rows)), memory_pool=pa.system_memory_pool()), None
+            yield part
+            part = None
+            give_back()
+            if b is None:
+                break
+        b = None
+    give_back()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,19 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import kept, portions
 
 PER_LANG, GRAMS, MIN_RATE, SHARE, BITS, HASHES, PIECE = 2000, 20000, 0.002, 0.3, 18, 3, 1 << 18
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 TURNS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-_LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
     """Whether a code point is a letter."""
-    if not _LETTERS:
-        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
-    return _LETTERS[0]
+    return kept("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filesystem, materialize, portions, scratch
+from .common import discard, filesystem, give_back, kept, materialize, portions, scratch
 from .simhash import SEED, bit_counts, bit_sliced_links, connected_components
 
 WORDS, CAP, MEMBERS, COUNTED, BLOCK = 5, 4096, 2048, 64, 1 << 14
@@ -43,7 +43,6 @@ WIDTH, RADIUS, CLOSE, SPANS = 8, 163, 24, 1 << 14
 LEAST = (4, 5)
 _PLACE = np.random.default_rng(SEED + 1).integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 _TURN = np.random.default_rng(SEED).integers(0, 1 << 64, WIDTH, np.uint64)
-_COUNTS: dict[str, np.ndarray] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -125,16 +124,16 @@ def frequencies(docs: DataFrame) -> list[tuple[int, str]]:
 
 def _counters(paths: list[tuple[int, str]]) -> np.ndarray:
     """The counters, read once by a process."""
-    key = paths[1][1] if len(paths) > 1 else ""
-    if key not in _COUNTS:
-        _COUNTS.clear()
+
+    def read():
         found = np.zeros(paths[0][0] * BLOCK, np.uint32)
         for block, path in paths[1:]:
             fs, inner = filesystem(path)
             with fs.open_input_stream(inner, compression=None) as f:
                 found[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(f.read(), np.uint32)
-        _COUNTS[key] = found
-    return _COUNTS[key]
+        return found
+
+    return kept(("near-counts", *paths[:2]), read)
 
 
 def prefix(found: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -239,6 +238,7 @@ def _first_pairs(batches):
                 yield table(None, b, None, a)
         lo = max(int(bounds[-2]), len(c["h"]) - WINDOW)
         held, alone = {k: v[lo:] for k, v in c.items()}, int(size[-1]) == 1
+        give_back()
 
 
 def _crossing(batches):
@@ -294,13 +294,15 @@ def _crossing(batches):
         cut = int(np.searchsorted(c["g"], c["g"][-1], "left"))
         rest = {k: v[cut:] for k, v in c.items()}
         yield from map(batch, out({k: v[:cut] for k, v in c.items()}))
+        give_back()
     if rest is not None:
         yield from map(batch, out(rest))
+    give_back()
 
 
 def _compare(batches):
     """Links (a, b) of rows (a, part, later, node, set): the first row of each (a, part) is the set of a, which every later one is compared with."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    rows = (r for b in portions(batches) for r in zip(*(c.to_pylist() for c in b.columns)))
     for (a, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
         _, _, later, _, own = next(group)
         if later:
