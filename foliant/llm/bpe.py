@@ -27,6 +27,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +211,26 @@ class Bpe:
             return self._library(text)
         return b"".join(self.concatenated(text)[1] if tree else self.leaves(self.split(text)))
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode(t, tree=False) of every text. Arrow splits byte-level texts and finds their distinct units, so that each is looked up once."""
+        rows = texts.to_pylist()
+        if self.kind == "word" or not rows:
+            return [self.encode(t, tree=False) for t in rows]
+        apart = [bool(t) and self.outside(t) for t in rows]
+        plain = pc.if_else(pa.array(apart, pa.bool_()), "", pc.fill_null(texts, ""))
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        units = lists.flatten().dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units.dictionary)], pa.int32()), units.dictionary.cast(pa.string())), "\0")[0].as_py()
+        known = self.leaves(names.split("\0"))
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        pool, first, index = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size, dtype=np.int32) - size, units.indices.to_numpy()
+        n = size[index]
+        ends = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(first[index] - ends + n, n)
+        place += np.arange(len(place), dtype=np.int32)
+        data, bounds = pool[place].tobytes(), [0, *(ends[np.cumsum(lists.value_lengths().to_numpy()) - 1].astype(np.int64) * 4).tolist()]
+        return [self._library(t) if out else data[a:z] for t, out, a, z in zip(rows, apart, bounds, bounds[1:])]
+
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with skip_special_tokens=False."""
         if self.kind == "word":

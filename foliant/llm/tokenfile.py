@@ -180,7 +180,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
     def run(batches):
         bpe, fs, at, before, held, size = encoder(vocabulary), None, 0, 0, [], 0
         name, out, part = f"{path}/{uuid.uuid4().hex}.rans", None, None
-        end = np.array([end_id], np.uint32)
+        end = end_id.to_bytes(4, "little")
         found = []
 
         def flush():
@@ -191,12 +191,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
             at, before, held, size = at + len(data), before + size, [], 0
 
         for b in portions(batches):
-            for d, t, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for d, coded, part in zip(b.column(0).to_pylist(), bpe.encode_all(b.column(1)), b.column(2).to_pylist()):
                 if out is None:
                     fs, inner = filesystem(name)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner, compression=None)
-                ids = np.concatenate([np.frombuffer(bpe.encode(t, tree=False), "<u4"), end])
+                ids = np.frombuffer(coded + end, "<u4")
                 held.append((d, ids))
                 size += len(ids)
                 if size >= SEGMENT:

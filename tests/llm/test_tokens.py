@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -44,6 +45,28 @@ def test_tree_concatenates_the_shared_documents(name):
     assert len(long) > 50 and own.joins > 200
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_a_slice_of_texts_equals_library(name):
+    library, own = Tokenizer.from_file(vocabulary(name)), bpe.Bpe(vocabulary(name))
+    texts = [*samples(), None, "", "\n", " ", "a b\nc", "a\n b ", None, " ".join(["é"] * 3000)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for lo, hi in ((0, len(texts)), (5, 700), (len(texts) - 7, len(texts)), (3, 3)):
+            got = own.encode_all(pa.array(texts, kind).slice(lo, hi - lo))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want[lo:hi]
+
+
+def test_token_files_look_up_each_unit_once_a_slice(monkeypatch):
+    own, asked = bpe.Bpe(vocabulary(NAMES[0])), []
+    leaves = own.leaves
+    monkeypatch.setattr(own, "leaves", lambda units: asked.extend(units) or leaves(units))
+    words = [f"w{k}" for k in range(50)]
+    texts = [" ".join(words[k % 50 :] + words) for k in range(1000)]
+    got = own.encode_all(pa.array(texts))
+    assert len(asked) == len(set(asked)) <= 2 * len(words)
+    assert got == [own.encode(t, tree=False) for t in texts]
+
+
 def test_unsafe_texts_are_found():
     import re
 
