@@ -72,6 +72,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """value rounded to so many decimals, halves of the double's product with a power of ten away from zero, as JavaScript and SQL round doubles."""
+    ten = 10.0**digits
+    return F.signum(value) * F.floor(F.abs(value) * ten + 0.5) / ten
+
+
 #: What makes a text a date, an invoice number or a quantity.
 DATED = r"(?i)\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b[a-z]{3,9}\s+\d{1,2},\s*\d{4}\b"
 NUMBERED, COUNTED = r"(?i)[a-z0-9][a-z0-9\-_/.]{2,}", r"^\s*\d+(\.\d+)?\s*$"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..functions.numeric import clamp
+from ..functions.numeric import clamp, half_up
 from .dedupe import first_by
 from .spatial import near_pairs
 
@@ -35,6 +35,13 @@ def _apart(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def _between(a: Column, b: Column) -> Column:
+    """Distance of the centres of two boxes, the second's place and half size taken from the first's centre one by one."""
+    (ax, ay) = G.center(a)
+    dx, dy = ax - b["x"] - b["w"] / 2, ay - b["y"] - b["h"] / 2
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def neighbours(fields: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, field_id, region_id, rank (by proximity, from 1), n (neighbours of the field), proximity, distance, overlap, dx, dy, angle, contains, and the
     region's area and kind: regions (id, x, y, w, h, kind) near fields (id, x, y, w, h) of the same reference document.
@@ -43,10 +50,10 @@ def neighbours(fields: DataFrame, regions: DataFrame, keys: list[str]) -> DataFr
     p = near_pairs(fields, regions.select(*keys, "id", "x", "y", "w", "h", "kind"), keys, 0.25, 0.95 * NEAR)
     a, b = _box("a"), _box("b")
     (ax, ay), (bx, by) = G.center(a), G.center(b)
-    p = p.withColumns({"away": _apart(ax, ay, bx, by), "iou": G.iou(a, b)})
+    p = p.withColumns({"away": _between(a, b), "iou": G.iou(a, b)})
     near = F.greatest(clamp(1 - F.col("away") / NEAR, 0.0, 1.0), F.when(F.col("iou") > 0, 0.5 + F.col("iou") * 0.5).otherwise(0.0))
     p = p.withColumn("near", near).where(F.col("near") > 0.05)
-    four = lambda c, n=4: F.round(c, n)
+    four = lambda c, n=4: half_up(c, n)
     p = p.select(*(F.col(f"a_{k}").alias(k) for k in keys), F.col("a_id").alias("field_id"), F.col("b_id").alias("region_id"), four(F.col("near")).alias("proximity"), four(F.col("away")).alias("distance"), four(F.col("iou")).alias("overlap"),
                  four(bx - ax).alias("dx"), four(by - ay).alias("dy"), four(F.atan2(by - ay, bx - ax), 3).alias("angle"), G.contains(b, a).alias("contains"), (F.col("b_w") * F.col("b_h")).alias("area"), F.col("b_kind").alias("kind"), F.try_divide(F.col("b_w"), F.col("b_h")).alias("aspect"))
     field = Window.partitionBy(*keys, "field_id")
@@ -77,10 +84,10 @@ def relevance(anchors: DataFrame, fields: DataFrame, near: DataFrame, keys: list
     overlap = G.iou(a, b)
     penalty = lambda area: F.when(area > 0.15, clamp(1 - (area - 0.15) / 0.35, 0.2, 1.0)).otherwise(1.0)
     belongs = F.when(F.col("rank").isNotNull(), 0.4 + 0.4 * (1 - (F.col("rank") - 1) / F.col("n"))).otherwise(0.0)
-    local = clamp(1 - G.distance(a, b) / FAR, 0.0, 1.0) * 0.3 + F.when(overlap > 0, 0.3 + overlap * 0.7).otherwise(0.0) * 0.2 + belongs * 0.25 + F.col("b_confidence") * 0.3 * 0.25
+    local = clamp(1 - _between(a, b) / FAR, 0.0, 1.0) * 0.3 + F.when(overlap > 0, 0.3 + overlap * 0.7).otherwise(0.0) * 0.2 + belongs * 0.25 + F.col("b_confidence") * 0.075
     best = first_by(pairs.withColumn("local", local * penalty(G.area(b))), [*keys, "id"], [F.desc("local"), "field_id"]).select(*keys, "id", "field_id", "local")
-    alone = F.col("confidence") * 0.3 * 0.25 * penalty(F.col("w") * F.col("h"))
-    return anchors.join(best, [*keys, "id"], "left").withColumn("relevance", F.round(F.coalesce("local", alone), 4)).drop("local")
+    alone = F.col("confidence") * 0.075 * penalty(F.col("w") * F.col("h"))
+    return anchors.join(best, [*keys, "id"], "left").withColumn("relevance", half_up(F.coalesce("local", alone), 4)).drop("local")
 
 
 def refined(anchors: DataFrame, least: float = RELEVANT) -> DataFrame:
