@@ -10,25 +10,39 @@ from ..functions import text as T
 from .dedupe import first_by
 
 
-def cells(x: Column, y: Column, w: Column, h: Column, size: float, reach: float = 0.0) -> Column:
+def cells(x: Column, y: Column, w: Column, h: Column, size: float, reach: Column | float = 0.0) -> Column:
     """Grid cells that a box, grown by reach, touches."""
     span = lambda a, b: F.sequence(F.floor((a - reach) / size), F.floor((b + reach) / size))
     return F.explode(F.flatten(F.transform(span(x, x + w), lambda i: F.transform(span(y, y + h), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
 
 
-def _tagged(df: DataFrame, p: str, keys: list[str], size: float, reach: float) -> DataFrame:
+def _tagged(df: DataFrame, p: str, keys: list[str], size: float, reach: Column) -> DataFrame:
     c = df.select(*(F.col(k).alias(f"{p}_{k}") for k in df.columns))
     g = lambda k: F.col(f"{p}_{k}")
     return c.withColumn(f"{p}_cell", cells(g("x"), g("y"), g("w"), g("h"), size, reach))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], size: float, reach: float = 0.0) -> DataFrame:
-    """Pairs (columns a_*, b_*) within keys whose boxes, a grown by reach, share a cell; each once. Columns id, x, y, w, h are needed."""
-    x, y = _tagged(a, "a", keys, size, reach), _tagged(b, "b", keys, size, 0.0)
-    cond = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys] + [F.col("a_cell") == F.col("b_cell")]
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df by hash of columns in as many partitions as shuffles have; small tables whose joins grow are not put together into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], size: float, reach: float | Column = 0.0) -> DataFrame:
+    """Pairs (columns a_*, b_*) within keys whose boxes, a grown by reach (a number or a column of a), share a cell; each once. Columns id, x, y, w, h are needed.
+
+    Both sides are spread over all partitions by cell and merged, so that no side is broadcast by the size of its files, however many
+    pairs there are of a small table."""
+    at = reach if isinstance(reach, Column) else F.lit(float(reach))
+    a = a.withColumn("__reach", at)
+    x, y = _tagged(a, "a", keys, size, F.col("a___reach")), _tagged(b, "b", keys, size, F.lit(0.0))
     low = lambda p, c, r: F.floor((F.col(f"{p}_{c}") - r) / size)
-    first = (F.col("a_cell.i") == F.greatest(low("a", "x", reach), low("b", "x", 0.0))) & (F.col("a_cell.j") == F.greatest(low("a", "y", reach), low("b", "y", 0.0)))
-    return x.join(y, cond).where(first).drop("a_cell", "b_cell")
+    x = x.withColumns({f"__a{c}": low("a", c, F.col("a___reach")) for c in "xy"}).drop("a___reach")
+    y = y.withColumns({f"__b{c}": low("b", c, F.lit(0.0)) for c in "xy"})
+    cond = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys] + [F.col("a_cell") == F.col("b_cell")]
+    x = spread(x, *(f"a_{k}" for k in keys), "a_cell")
+    y = spread(y, *(f"b_{k}" for k in keys), "b_cell").hint("merge")
+    first = (F.col("a_cell.i") == F.greatest("__ax", "__bx")) & (F.col("a_cell.j") == F.greatest("__ay", "__by"))
+    return x.join(y, cond).where(first).drop("a_cell", "b_cell", "__ax", "__ay", "__bx", "__by")
 
 
 def overlap(a: str = "a", b: str = "b") -> Column:
@@ -135,7 +149,7 @@ def capture(tokens: DataFrame, boxes: DataFrame, keys: list[str], reach: float,
     """The k nearest tokens of each box within reach: rank 1 is the anchor, the others its supports."""
     p = near_pairs(boxes, tokens, keys, reach, reach)
     g = F.col
-    dx, dy = g("b_x") + g("b_w") / 2 - g("a_x") - g("a_w") / 2, g("b_y") + g("b_h") / 2 - g("a_y") - g("a_h") / 2
+    dx, dy = -(g("a_x") + g("a_w") / 2 - g("b_x") - g("b_w") / 2), -(g("a_y") + g("a_h") / 2 - g("b_y") - g("b_h") / 2)  # subtracted from the box's side: equal distances stay equal
     p = p.withColumn("dx", dx).withColumn("dy", dy).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach)
     w = Window.partitionBy(*(f"a_{c}" for c in keys), "a_id").orderBy("distance", "b_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
