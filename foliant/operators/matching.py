@@ -9,7 +9,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from .dedupe import first_by
 from .search import within_edits
-from .spatial import near_pairs
+from .spatial import SLACK, nearest_pairs
 
 #: Weights of the signals that rank candidates, and of those that keep nodes near a selection.
 SIGNALS = {"anchor_text": 0.20, "nearby_label": 0.17, "structural": 0.14, "containing_region": 0.10, "sibling_arrangement": 0.10, "local_geometry": 0.17, "graph_relationship": 0.12}
@@ -124,13 +124,14 @@ def landmark_matches(landmarks: DataFrame, tokens: DataFrame, most: float = 0.3)
 def context(fields: DataFrame, landmarks: DataFrame, keys: list[str], radius: float = 0.4, k: int = 10) -> DataFrame:
     """The k landmarks nearest to each field within the radius, ties to the smaller id, with the landmarks' columns.
 
-    Points meet by grid cells half a radius wide, so no pair beyond the cells around a field is formed."""
-    point = lambda df: df.select(*keys, "id", "x", "y", F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
-    p = near_pairs(point(fields), point(landmarks.select(*keys, "id", "x", "y").distinct()), keys, radius / 2, radius)
+    A field meets the landmarks of a circle that holds k, or of the whole radius where fewer lie in it."""
+    at = lambda df: df.withColumns({"__px": F.col("x"), "__py": F.col("y")})
+    p = nearest_pairs(at(fields.select(*keys, "id", "x", "y")), at(landmarks), keys, k, radius * SLACK)
     away = F.sqrt(F.pow(F.col("b_x") - F.col("a_x"), 2) + F.pow(F.col("b_y") - F.col("a_y"), 2))
     near = p.withColumn("distance", away).where(F.col("distance") <= radius)
-    near = near.select(*(F.col(f"a_{c}").alias(c) for c in keys), F.col("a_id").alias("field_id"), F.col("a_x").alias("fx"), F.col("a_y").alias("fy"), F.col("b_id").alias("id"), F.col("b_x").alias("x"), F.col("b_y").alias("y"), "distance")
-    return first_by(near.join(landmarks, [*keys, "id", "x", "y"]), [*keys, "field_id"], ["distance", "id"], k)
+    more = [c for c in landmarks.columns if c not in (*keys, "id", "x", "y")]
+    near = near.select(*(F.col(f"a_{c}").alias(c) for c in keys), F.col("b_id").alias("id"), F.col("b_x").alias("x"), F.col("b_y").alias("y"), F.col("a_id").alias("field_id"), F.col("a_x").alias("fx"), F.col("a_y").alias("fy"), "distance", *(F.col(f"b_{c}").alias(c) for c in more))
+    return first_by(near, [*keys, "field_id"], ["distance", "id"], k)
 
 
 def blended(structure: DataFrame, landmark: DataFrame, keys: list[str], least: float = 0.7) -> DataFrame:

@@ -45,6 +45,67 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], size: float, reach:
     return x.join(y, cond).where(first).drop("a_cell", "b_cell", "__ax", "__ay", "__bx", "__by")
 
 
+#: How often the widest cells are halved, and into how many rings of equal area a circle is counted.
+LEVELS, RINGS, SLACK = 8, 8, 1 + 1e-9
+
+
+def _at_levels(points: DataFrame, widest: float) -> DataFrame:
+    """points (__px, __py) with their cell __i, __j at every level __l, whose cells are widest / 2^l wide."""
+    q = F.pow(F.lit(2.0), F.col("__l")) / widest
+    return points.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns({"__i": F.floor(F.col("__px") * q), "__j": F.floor(F.col("__py") * q)})
+
+
+def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], widest: float) -> DataFrame:
+    """Pairs (columns a_*, b_*) within keys of points (__px, __py) of which b's lies in the square of __reach around a's, or a little beyond; each once.
+
+    Every row of a meets b in the cells of the level whose width fits its own __reach, which is at most widest."""
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.lit(float(widest)) / F.greatest("__reach", F.lit(1e-300)))))).cast("int")
+    q = F.pow(F.lit(2.0), F.col("__l")) / widest
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("__reach")) * q), F.floor((F.col(c) + F.col("__reach")) * q)))
+    x = a.withColumn("__l", level).withColumn("__i", span("__px")).withColumn("__j", span("__py"))
+    x, y = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for p, df in (("a", x), ("b", _at_levels(b, widest))))
+    on = [*keys, "__l", "__i", "__j"]
+    x, y = spread(x, *(f"a_{c}" for c in on)), spread(y, *(f"b_{c}" for c in on)).hint("merge")
+    return x.join(y, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in on]).drop(*(f"{p}_{c}" for p in "ab" for c in on[-3:]))
+
+
+def _apart() -> Column:
+    dx, dy = F.col("a___px") - F.col("b___px"), F.col("a___py") - F.col("b___py")
+    return dx * dx + dy * dy
+
+
+def enough(a: DataFrame, b: DataFrame, keys: list[str], k: int, widest: float) -> DataFrame:
+    """Points a (id, __px, __py) with __reach, at most widest, within which at least k points of b lie; widest if fewer do.
+
+    The smallest cell around a point that holds k gives a first circle, and counts of its rings a smaller one. Points are counted
+    by cell, pairs are only summed up: no pair is sorted or shuffled."""
+    mine = a.select(*keys, "id", "__px", "__py")
+    cell = [*keys, "__l", "__i", "__j"]
+    full = _at_levels(b.select(*keys, "__px", "__py"), widest).groupBy(*cell).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).drop("__n")
+    best = _at_levels(mine, widest).join(full, cell).groupBy(*keys, "id", "__px", "__py").agg(F.max("__l").alias("__l"))
+    point = [*keys, "id", "__px", "__py"]
+    circle = F.least(F.lit(float(widest)), F.lit(2**0.5 * SLACK * widest) / F.pow(F.lit(2.0), F.col("__l")))
+    first = mine.join(best.hint("merge"), point, "left").select(*point, F.coalesce(circle, F.lit(float(widest))).alias("__reach"))
+    p = close_pairs(first, b.select(*keys, "__px", "__py"), keys, widest)
+    square = F.col("a___reach") * F.col("a___reach")
+    near = p.groupBy(*(F.col(f"a_{c}").alias(c) for c in point), F.col("a___reach").alias("__reach")).agg(*(F.count_if(_apart() <= square * (m / RINGS)).alias(f"__r{m}") for m in range(1, RINGS)))
+    ring = F.coalesce(*(F.when(F.col(f"__r{m}") >= k, F.col("__reach") * ((m / RINGS) ** 0.5 * SLACK)) for m in range(1, RINGS)), F.col("__reach"))
+    return a.join(near.select(*point, F.least(F.lit(float(widest)), ring).alias("__reach")).hint("merge"), point, "left").withColumn("__reach", F.coalesce("__reach", F.lit(float(widest))))
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, keys: list[str], k: int, widest: float, place: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Pairs (columns a_*, b_*) of points (id, __px, __py) among which are the k nearest of b, ties by id, to every one of a within widest.
+
+    Some are farther; of rows of b with equal place those beyond the first k by id are not among them."""
+    b = first_by(b, [*keys, *place], ["id"], k)
+    p = close_pairs(enough(a, b, keys, k, widest), b, keys, widest)
+    return p.where(_apart() <= F.col("a___reach") * F.col("a___reach") * SLACK).drop(*(f"{p}_{c}" for p in "ab" for c in ("__px", "__py")), "a___reach")
+
+
+def centred(df: DataFrame) -> DataFrame:
+    return df.withColumns({"__px": F.col("x") + F.col("w") / 2, "__py": F.col("y") + F.col("h") / 2})
+
+
 def overlap(a: str = "a", b: str = "b") -> Column:
     g = lambda p, c: F.col(f"{p}_{c}")
     side = lambda c, s: F.greatest(F.lit(0.0), F.least(g(a, c) + g(a, s), g(b, c) + g(b, s)) - F.greatest(g(a, c), g(b, c)))
@@ -147,7 +208,7 @@ def constellation(tokens: DataFrame, pattern: DataFrame, keys: list[str], tolera
 
 def capture(tokens: DataFrame, boxes: DataFrame, keys: list[str], reach: float, k: int = 5) -> DataFrame:
     """The k nearest tokens of each box within reach: rank 1 is the anchor, the others its supports."""
-    p = near_pairs(boxes, tokens, keys, reach, reach)
+    p = nearest_pairs(centred(boxes), centred(tokens), keys, k, reach * SLACK, tuple("xywh"))
     g = F.col
     dx, dy = -(g("a_x") + g("a_w") / 2 - g("b_x") - g("b_w") / 2), -(g("a_y") + g("a_h") / 2 - g("b_y") - g("b_h") / 2)  # subtracted from the box's side: equal distances stay equal
     p = p.withColumn("dx", dx).withColumn("dy", dy).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach)
