@@ -117,8 +117,15 @@ def landmark_matches(landmarks: DataFrame, tokens: DataFrame, most: float = 0.3)
     tk = tokens.withColumn("t", T.keyword_norm(F.col("text")))
     away = F.sqrt(F.pow(F.col("x") - F.col("lx"), 2) + F.pow(F.col("y") - F.col("ly"), 2))
     close = within_edits(tk.select(F.col("t").alias("a")), lm.select(F.col("norm").alias("b")), most)
-    found = tk.join(close, F.col("t") == F.col("a")).join(lm, F.col("b") == F.col("norm")).withColumn("away", away)
-    return first_by(found, ["landmark_id", "doc_id"], ["distance", "away", "x", "y", "text"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
+    # equal tokens and equal landmarks once, and of each document only the texts that are closest to the landmark's
+    said = tk.select("doc_id", "t", "text", "x", "y").distinct()
+    near = said.select("doc_id", "t").distinct().join(close, F.col("t") == F.col("a")).select("doc_id", "t", F.col("b").alias("norm"), "distance")
+    least = near.groupBy("doc_id", "norm").agg(F.min("distance").alias("distance"))
+    near = near.join(least, ["doc_id", "norm", "distance"])
+    place = lm.select("norm", "lx", "ly").distinct()
+    found = place.join(near, "norm").join(said, ["doc_id", "t"]).withColumn("away", away)
+    best = first_by(found, ["norm", "lx", "ly", "doc_id"], ["away", "x", "y", "text"])
+    return lm.join(best, ["norm", "lx", "ly"]).select("landmark_id", "doc_id", "text", "x", "y", "distance")
 
 
 def context(fields: DataFrame, landmarks: DataFrame, keys: list[str], radius: float = 0.4, k: int = 10) -> DataFrame:
