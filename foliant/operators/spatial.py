@@ -55,11 +55,11 @@ def _at_levels(points: DataFrame, widest: float) -> DataFrame:
     return points.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns({"__i": F.floor(F.col("__px") * q), "__j": F.floor(F.col("__py") * q)})
 
 
-def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], widest: float) -> DataFrame:
+def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], widest: float, coarser: int = 0) -> DataFrame:
     """Pairs (columns a_*, b_*) within keys of points (__px, __py) of which b's lies in the square of __reach around a's, or a little beyond; each once.
 
-    Every row of a meets b in the cells of the level whose width fits its own __reach, which is at most widest."""
-    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.lit(float(widest)) / F.greatest("__reach", F.lit(1e-300)))))).cast("int")
+    Every row of a meets b in the cells of the level whose width fits its own __reach, or so many levels above: fewer copies, more pairs."""
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.lit(float(widest)) / F.greatest("__reach", F.lit(1e-300)))) - coarser)).cast("int")
     q = F.pow(F.lit(2.0), F.col("__l")) / widest
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("__reach")) * q), F.floor((F.col(c) + F.col("__reach")) * q)))
     x = a.withColumn("__l", level).withColumn("__i", span("__px")).withColumn("__j", span("__py"))
