@@ -5,10 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import half_up
+from .scratch import dropped, written
+from .spatial import near_pairs, overlap
+
 #: How the centre of a line follows its tokens.
 UPDATES = ("biased", "midpoint", "mean")
+#: Pairs of a group that one task may fold.
+MOST_PAIRS = 1_000_000
 
 
 def _schema(df: DataFrame, **more: T.DataType) -> T.StructType:
@@ -101,6 +108,41 @@ def assign_greedy(pairs: DataFrame, keys: list[str], a: str, b: str, score: str)
     return pairs.groupBy(*keys).applyInPandas(fold, pairs.schema)
 
 
+def assign_boxes(left: DataFrame, right: DataFrame, keys: list[str], size: float, most: int = MOST_PAIRS) -> DataFrame:
+    """keys, a, b, score: assign_greedy() of the boxes (id, x, y, w, h) that overlap, by shared area rounded to nine decimals.
+
+    While a group has more than `most` pairs, all pairs that are the best of both their boxes are taken at once: those the greedy order takes
+    in any case. Pairs are only summed up for that, never gathered; the rest is folded. Every round is written."""
+    box = [*keys, "id", *"xywh"]
+    score = half_up(overlap(), 9)
+    left, right, found, old = left.select(*box), right.select(*box), None, []
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        return near_pairs(a, b, keys, size).withColumn("score", score).where("score > 0")
+
+    def end(p: str) -> list:
+        return [*(F.col(f"{p}_{k}").alias(k) for k in keys), F.col(f"{p}_id").alias("id")]
+
+    def flat(p: DataFrame) -> DataFrame:
+        return p.select(*(F.col(f"a_{k}").alias(k) for k in keys), F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
+
+    while (pairs(left, right).groupBy(*(f"a_{k}" for k in keys)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > most:
+        top = [written(pairs(left, right).groupBy(*end(p)).agg(F.max("score").alias("top")), "top") for p in "ab"]
+        l, r = (df.join(t.hint("merge"), [*keys, "id"]) for df, t in zip((left, right), top))
+        hit = written(pairs(l, r).where("score = a_top or score = b_top").select("*"), "hit")
+        a = hit.where("score = a_top").groupBy(*end("a")).agg(F.min("b_id").alias("b")).withColumnRenamed("id", "a")
+        b = hit.where("score = b_top").groupBy(*end("b")).agg(F.min("a_id").alias("a")).withColumnRenamed("id", "b")
+        both = flat(hit).join(a.hint("merge"), [*keys, "a", "b"]).join(b.hint("merge"), [*keys, "a", "b"])
+        new = written(both.select(*keys, "a", "b", "score"), "pairs")
+        found = new if found is None else found.unionByName(new)
+        free = lambda df, side: written(df.join(new.select(*keys, F.col(side).alias("id")).hint("merge"), [*keys, "id"], "left_anti"), "free")  # noqa: B023, E731
+        left, right = free(left, "a"), free(right, "b")
+        dropped(*top, hit, *old)
+        old = [left, right]
+    rest = assign_greedy(flat(pairs(left, right)), keys, "a", "b", "score")
+    return rest if found is None else found.unionByName(rest)
+
+
 def leader_families(examples: DataFrame, keys: list[str], order: str, vector: str = "features", least: float = 0.70) -> DataFrame:
     """examples with family and its moving centroid's similarity: in order, an example joins the most similar family of at
     least `least`, else founds one; centroids move by 1 / min(n, 10)."""
